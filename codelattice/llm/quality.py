@@ -51,6 +51,8 @@ EXAMPLES = [
     ("table", "| name | size | rows |\n| --- | --- | --- |\n| nodes | 120 | 0.55 |\n| edges | 9912 | 0.31 |\n| files | 77 | - |"),
     ("table", "0.613;0.996;graph;63805;-;0.2\n0.112;-;edge;5126;0.9;0.1\n-;0.5;node;777;0.3;-"),
     ("table", "name: yes\nsize: 7689\nprofile: none\nledger: 3690\nquery: none\nrows: 7723"),
+    ("junk", "n/a"),
+    ("junk", "..."),
     ("junk", "def run(x):\n    y = load_rows(x)\n    for r in y:\n        r.save(x)\n    return y\n\nclass Row:\n    size = 3\n"),
     ("junk", "00000000  d4 7f 26 68 49 70 fe 3d 66 74 c3 7e 77 53 07 64\n00000010  bb 71 f6 e0 0c 88 d7 29 74 00 7c 0a d3 01 16 09"),
     ("junk", "2025-08-24T20:06:03Z DEBUG layer[2018]: run=2277 name=a557c7\n2025-05-07T19:01:24Z WARN target[1689]: region=5740 artifact=5c47db"),
@@ -66,9 +68,10 @@ KANA_SHARE = 0.25  # the same for kana in Japanese
 SYMBOL_LIMIT = 0.14  # share of code marks from which a line is no sentence
 LETTER_LEAST = 0.6  # share of letters a sentence has at least
 PROSE_SHARE = 0.5  # share of a document that sentences must hold
-ROUNDS = 25
+ROUNDS = 15
 TOLERANCE = 1e-4
 VARIANCE_FLOOR = 0.02
+SENTENCE_VARIANCE = 0.06  # at most this, in squared standard deviations, so that no component holds both prose and what is not
 
 _COMMON = frozenset(w for words in COMMON_WORDS.values() for w in words.split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -257,6 +260,7 @@ def fit_mixture(stats: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLER
     scale = np.maximum(np.array(row[1 + d :], "f8"), 1e-2)
     seeds = np.array([_vector(measure(t)) for _, t in EXAMPLES])
     model = Mixture(centre, scale, np.full(len(seeds), 1 / len(seeds)), (seeds - centre) / scale, np.full(seeds.shape, 1.0))
+    model.variances[:, -1] = SENTENCE_VARIANCE
     before = None
     for _ in range(rounds):
         parts = stats.select(*MEASURES).mapInArrow(lambda it, m=model: _sums(it, m), "sums array<double>")
@@ -269,6 +273,7 @@ def fit_mixture(stats: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLER
         mass = m[:, :1] + 1e-3  # an empty component keeps its place
         means = (m[:, 1 : 1 + d] + 1e-3 * model.means) / mass
         variances = np.maximum((m[:, 1 + d :] + 1e-3 * (model.variances + model.means**2)) / mass - means**2, VARIANCE_FLOOR)
+        variances[:, -1] = np.minimum(variances[:, -1], SENTENCE_VARIANCE)
         model = Mixture(centre, scale, mass[:, 0] / mass.sum(), means, variances)
         if before is not None and abs(level - before) < tolerance:
             break
