@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load
-from . import neighbours, quality, source_filter
+from ..session import cut, load
+from . import mixing, neighbours, packing, quality, source_filter, tokens
 
 SIMILAR = 0.80
 
@@ -49,6 +49,41 @@ def p2_search(spark: SparkSession, d: str) -> DataFrame:
     return told.select(F.col("query").alias("query_id"), "vec_id", F.col("sim").cast("double").alias("similarity"))
 
 
+# --- 7: filling fixed-capacity containers ------------------------------------------------------
+
+
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Container of every document (or part of one longer than the capacity) for every capacity."""
+    capacities = sorted(r[0] for r in load(spark, d, "pack_sizes").select("capacity_tokens").distinct().collect() if r[0] and r[0] > 0)  # a fixed, small table
+    sizes = tokens.token_counts(load(spark, d, "documents"), ["doc_id"])
+    return packing.pack_all(sizes, capacities, "doc_id", "n_tokens").withColumnRenamed("item", "doc_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and share of space used, per capacity."""
+    return packing.packing_report(p7_packing(spark, d))
+
+
+# --- 8: mixing sources to target weights -------------------------------------------------------
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    documents = load(spark, d, "documents").select("doc_id", mixing.label(F.col("source")).alias("source"), "text")
+    sized = cut(tokens.token_counts(documents, ["doc_id", "source"]).withColumnRenamed("doc_id", "doc"))
+    targets = load(spark, d, "mix_targets").select(mixing.label(F.col("source")).alias("source"), "target_share", "max_repeats")
+    return mixing.mix(sized, targets)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix: which part of which document stands in which slot of which shard."""
+    return _mixed(spark, d)[0].withColumnRenamed("doc", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return _mixed(spark, d)[1]
+
+
 # --- 9: text quality statistics ----------------------------------------------------------------
 
 
@@ -65,6 +100,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_reasons": p1_reasons,
     "p2_found": p2_found, "p2_search": p2_search,
+    "p7_packing": p7_packing, "p7_report": p7_report,
+    "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_statistics": p9_statistics,
 }
 
