@@ -28,7 +28,7 @@ def words_sql(column: str) -> str:
     out = f"regexp_replace({column}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
     for pattern in [r"(\p{Lu}+)(\p{Lu}\p{Ll})", r"(\p{Ll})(\p{Lu})", r"(\p{L})(\p{N})", r"(\p{N})(\p{L})"]:
         out = f"regexp_replace({out}, '{pattern}', '\\1 \\2', 'g')"
-    return f"list_filter(string_split_regex(lower(trim({out})), ' +'), x -> x <> '')"
+    return f"list_filter(string_split_regex(lower(trim({out})), ' +'), lambda x: x <> '')"
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -55,9 +55,9 @@ def keys(spark: SparkSession, *names: str) -> DataFrame:
 # --- store: current state ----------------------------------------------------------------------
 
 
-@query(f"WITH {NODES_CTE} SELECT qualified_name, kind, file_path, file_hash, mtime_ns, updated_at FROM n", "upserted_nodes")
+@query(f"WITH {NODES_CTE} SELECT qualified_name, kind, file_path, file_hash, mtime_ns::VARCHAR AS mtime_ns, updated_at FROM n", "upserted_nodes")
 def upserted_nodes(spark, d):
-    return current_nodes(spark, d).select("qualified_name", "kind", "file_path", "file_hash", "mtime_ns", "updated_at")
+    return current_nodes(spark, d).select("qualified_name", "kind", "file_path", "file_hash", F.col("mtime_ns").cast("string").alias("mtime_ns"), "updated_at")
 
 
 @query(f"WITH {EDGES_CTE} SELECT kind, source_qualified, target_qualified, file_path, line, confidence, {TIER_SQL} AS tier FROM e")
@@ -67,9 +67,9 @@ def upserted_edges(spark, d):
     return current_edges(spark, d).select("kind", "source_qualified", "target_qualified", "file_path", "line", "confidence", tier().alias("tier"))
 
 
-@query(f"WITH {NODES_CTE} SELECT file_path, max(file_hash) AS file_hash, max(mtime_ns) AS mtime_ns FROM n WHERE kind = 'File' GROUP BY file_path")
+@query(f"WITH {NODES_CTE} SELECT file_path, max(file_hash) AS file_hash, max(mtime_ns)::VARCHAR AS mtime_ns FROM n WHERE kind = 'File' GROUP BY file_path")
 def file_meta_map(spark, d):
-    return current_nodes(spark, d).filter("kind = 'File'").groupBy("file_path").agg(F.max("file_hash").alias("file_hash"), F.max("mtime_ns").alias("mtime_ns"))
+    return current_nodes(spark, d).filter("kind = 'File'").groupBy("file_path").agg(F.max("file_hash").alias("file_hash"), F.max("mtime_ns").cast("string").alias("mtime_ns"))
 
 
 # --- lookups -----------------------------------------------------------------------------------
@@ -159,7 +159,7 @@ def heading_slugs(spark, d):
     return h.select("doc_id", "level", text.slugify(F.expr("substr(h, level + 1)")).alias("slug"))
 
 
-@query(f"WITH {NODES_CTE} SELECT qualified_name, list_sum(list_transform(string_split(regexp_replace(coalesce(params, ''), '^\\s*\\(|\\)\\s*$', '', 'g'), ','), p -> CASE WHEN trim(p) <> '' AND trim(p) NOT IN ('self', 'cls', 'this', '*', '/') THEN 1 ELSE 0 END))::BIGINT AS n_params FROM n WHERE kind = 'Function'")
+@query(f"WITH {NODES_CTE} SELECT qualified_name, list_sum(list_transform(string_split(regexp_replace(coalesce(params, ''), '^\\s*\\(|\\)\\s*$', '', 'g'), ','), lambda p: CASE WHEN trim(p) <> '' AND trim(p) NOT IN ('self', 'cls', 'this', '*', '/') THEN 1 ELSE 0 END))::BIGINT AS n_params FROM n WHERE kind = 'Function'")
 def parameter_counts(spark, d):
     n = current_nodes(spark, d).filter("kind = 'Function'")
     return n.select("qualified_name", text.parameter_shape(F.col("params"))["total"].cast("long").alias("n_params"))
@@ -253,7 +253,7 @@ def _starts(prefixes: list[str]) -> str:
 
 
 _EXCLUDED = ", ".join(f"'{x}'" for x in text.SECURITY_EXCLUDED)
-SECURE_SQL = f"len(list_filter(range(1, len(w) + 1), i -> {_starts(text.SECURITY_PREFIXES)} AND w[i] NOT IN ({_EXCLUDED}) AND (w[i] || coalesce(w[i + 1], '')) NOT IN ({_EXCLUDED}))) > 0"
+SECURE_SQL = f"len(list_filter(range(1, len(w) + 1), lambda i: {_starts(text.SECURITY_PREFIXES)} AND w[i] NOT IN ({_EXCLUDED}) AND (w[i] || coalesce(w[i + 1], '')) NOT IN ({_EXCLUDED}))) > 0"
 
 
 @query(f"""{WITH}, c AS (SELECT target_qualified q, count(*) k FROM e WHERE kind = 'CALLS' GROUP BY 1), t AS (SELECT source_qualified q, count(*) k FROM e WHERE kind = 'TESTED_BY' GROUP BY 1),
@@ -273,10 +273,10 @@ def community_cohesion(spark, d):
 
 @query(f"""WITH {NODES_CTE}, m AS (SELECT community_id, name, lower(language) lang, {PACKAGE_SQL.format('file_path')} dir FROM n WHERE community_id IS NOT NULL AND kind <> 'File'),
 s AS (SELECT community_id, count(*) size FROM m GROUP BY 1),
-l AS (SELECT community_id, lang FROM (SELECT community_id, lang, row_number() OVER (PARTITION BY community_id ORDER BY count(*) DESC, lang) rk FROM m WHERE lang IS NOT NULL GROUP BY ALL) WHERE rk = 1),
-p AS (SELECT community_id, dir FROM (SELECT community_id, dir, row_number() OVER (PARTITION BY community_id ORDER BY count(*) DESC, dir) rk FROM m WHERE dir IS NOT NULL GROUP BY ALL) WHERE rk = 1),
+l AS (SELECT community_id, lang FROM (SELECT community_id, lang, row_number() OVER (PARTITION BY community_id ORDER BY count(*) DESC, lang) rk FROM m WHERE lang IS NOT NULL GROUP BY community_id, lang) WHERE rk = 1),
+p AS (SELECT community_id, dir FROM (SELECT community_id, dir, row_number() OVER (PARTITION BY community_id ORDER BY count(*) DESC, dir) rk FROM m WHERE dir IS NOT NULL GROUP BY community_id, dir) WHERE rk = 1),
 w AS (SELECT community_id, unnest({words_sql('name')}) word FROM m),
-k AS (SELECT community_id, word FROM (SELECT community_id, word, row_number() OVER (PARTITION BY community_id ORDER BY count(*) DESC, word) rk FROM w WHERE length(word) > 2 AND word NOT IN ({", ".join(f"'{x}'" for x in aggregates.NAME_STOPWORDS)}) GROUP BY ALL) WHERE rk = 1)
+k AS (SELECT community_id, word FROM (SELECT community_id, word, row_number() OVER (PARTITION BY community_id ORDER BY count(*) DESC, word) rk FROM w WHERE length(word) > 2 AND word NOT IN ({", ".join(f"'{x}'" for x in aggregates.NAME_STOPWORDS)}) GROUP BY community_id, word) WHERE rk = 1)
 SELECT s.community_id, s.size, l.lang AS dominant_language, p.dir AS directory, k.word AS top_word FROM s LEFT JOIN l USING (community_id) LEFT JOIN p USING (community_id) LEFT JOIN k USING (community_id)""")
 def community_profiles(spark, d):
     return aggregates.community_profiles(current_nodes(spark, d))
@@ -514,7 +514,7 @@ def keyword_search(spark, d):
     return search.keyword_search(current_nodes(spark, d), "read graph", 25)
 
 
-@query("""WITH q AS (SELECT embedding v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_sum(list_transform(list_zip(embedding, q.v), x -> x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q.v, x -> x::DOUBLE * x::DOUBLE))) c FROM embeddings, q)
+@query("""WITH q AS (SELECT embedding v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_sum(list_transform(list_zip(embedding, q.v), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q.v, lambda x: x::DOUBLE * x::DOUBLE))) c FROM embeddings, q)
 SELECT vec_id, round(c * 100000)::BIGINT AS similarity FROM s ORDER BY c DESC, vec_id LIMIT 10""")
 def cosine_topk(spark, d):
     rows = load(spark, d, "embeddings")

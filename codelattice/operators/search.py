@@ -34,7 +34,10 @@ def node_fields(nodes: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, doc: str, fields: dict[str, int]) -> DataFrame:
     """``term, doc, tf``: weighted occurrences of every term."""
-    bag = F.flatten(F.array(*[F.transform(terms(F.col(f)), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).cast("long").alias("w"))) for f, w in fields.items()]))
+    def weighted(field: str, weight: int) -> Column:
+        return F.transform(terms(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(weight).cast("long").alias("w")))
+
+    bag = F.flatten(F.array(*[weighted(f, w) for f, w in fields.items()]))
     return docs.select(F.col(doc).alias("doc"), F.explode(bag).alias("p")).groupBy(F.col("p.term").alias("term"), "doc").agg(F.sum("p.w").alias("tf"))
 
 
