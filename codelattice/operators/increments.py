@@ -96,10 +96,10 @@ def rows_within(df: DataFrame, seq: str, intervals: DataFrame, width: int = 1024
     block and the bounds decide, so neither side is compared with all of the other.
     """
     laid = intervals.select(
-        F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("_block")
+        F.col("lo").alias("_gap_lo"), F.col("hi").alias("_gap_hi"), F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("_gap_block")
     )
     row_block = F.floor(F.col(seq) / width)
-    hit = (row_block == F.col("_block")) & F.col(seq).between(F.col("_lo"), F.col("_hi"))
+    hit = (row_block == F.col("_gap_block")) & F.col(seq).between(F.col("_gap_lo"), F.col("_gap_hi"))
     return df.join(laid, hit, "left_semi")
 
 
