@@ -218,6 +218,8 @@ def pack_all(items: DataFrame, capacities: list[int], item: str = "item", size:
     from functools import reduce
 
     held = cut(items)
+    if not capacities:
+        return held.limit(0).select(F.lit(0).cast("long").alias("capacity"), F.lit(0).cast("long").alias("container"), F.col(item).alias("item"), F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("size"))
     parts = [pack(held, c, item, size)[0].select(F.lit(c).cast("long").alias("capacity"), "container", "item", "piece", "size") for c in capacities]
     return reduce(DataFrame.unionByName, parts)
 
