@@ -104,7 +104,7 @@ def parameter_shape(params: Column) -> Column:
 def contains_word(haystack: Column, needle: Column) -> Column:
     """Whether ``needle`` stands in ``haystack`` with no ASCII letter or digit on either side; both in lower case."""
     quoted = F.regexp_replace(needle, r"([^A-Za-z0-9_])", r"\\$1")
-    return haystack.rlike(F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])")))
+    return F.rlike(haystack, F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])")))
 
 
 def query_words(text: Column) -> Column:

@@ -174,7 +174,7 @@ def tie_weights(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("w").alias("w"))
 
 
-def label_communities(ties: DataFrame, rounds: int = 6) -> DataFrame:
+def label_communities(ties: DataFrame, rounds: int = 12) -> DataFrame:
     """``node, community`` by weighted label propagation.
 
     A node takes the label with the greatest weight among its neighbours, ties
@@ -187,9 +187,9 @@ def label_communities(ties: DataFrame, rounds: int = 6) -> DataFrame:
         votes = both.join(labels.select(F.col("node").alias("_o"), "community"), F.col("other") == F.col("_o")).groupBy("node", "community").agg(F.sum("w").alias("w"))
         best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("b")).select(F.col("node").alias("_n"), F.col("b.community").alias("_c"))
         turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        joined = cut(labels.join(best, F.col("node") == F.col("_n"), "left").select("node", F.when(turn, F.coalesce("_c", "community")).otherwise(F.col("community")).alias("community"), (turn & (F.col("_c") != F.col("community"))).alias("moved")))
+        joined = cut(labels.join(best, F.col("node") == F.col("_n"), "left").select("node", F.when(turn, F.coalesce("_c", "community")).otherwise(F.col("community")).alias("community"), (F.col("_c") != F.col("community")).alias("restless")))
         labels = joined.select("node", "community")
-        if joined.filter("moved").isEmpty():
+        if joined.filter("restless").isEmpty():
             break
     return labels
 

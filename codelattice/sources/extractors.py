@@ -23,6 +23,7 @@ FIELDS = [f.strip().split()[0] for f in ROW.split(",")]
 
 # fixed values: what declares a function, a type and an import in a line of a language
 DECLARATIONS = {
+    "python": (r"^\s*(?:async\s+)?def\s+(\w+)\s*(\([^)]*\))?", r"^\s*class\s+(\w+)", r"^\s*(?:from|import)\s+([\w.]+)"),
     "rust": (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+\"[^\"]*\"\s+)*fn\s+(\w+)\s*(?:<[^>]*>)?\s*(\([^)]*\))?", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|union)\s+(\w+)", r"^\s*(?:pub\s+)?use\s+([\w:]+)"),
     "go": (r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*(\([^)]*\))?", r"^type\s+(\w+)\s+(?:struct|interface)", r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$"),
     "java": (r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ?]+\s+(\w+)\s*(\([^)]*\))", r"^\s*(?:(?:public|private|protected|abstract|final|static)\s+)*(?:class|interface|enum|record)\s+(\w+)", r"^import\s+(?:static\s+)?([\w.]+)"),
