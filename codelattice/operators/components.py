@@ -13,15 +13,19 @@ from ..session import cut
 TIE_WEIGHTS = {"CALLS": 100, "INHERITS": 80, "IMPLEMENTS": 70, "DEPENDS_ON": 60, "CROSS_ARTIFACT": 60, "IMPORTS_FROM": 50, "TESTED_BY": 40, "CONTAINS": 30}
 DEFAULT_TIE = 50
 
+STEPS_PER_CUT = 2  # joins between two checkpoints of a loop
+
 
 def trim_acyclic(links: DataFrame, rounds: int = 200) -> DataFrame:
     """Links that can lie on a cycle: links out of nodes without a predecessor or into nodes without a successor are peeled off."""
     current = cut(links.select("src", "dst").filter("src <> dst").distinct())
     count = current.count()
     for _ in range(rounds):
-        heads = current.select(F.col("dst").alias("_d")).distinct()
-        tails = current.select(F.col("src").alias("_s")).distinct()
-        current = cut(current.join(heads, F.col("src") == F.col("_d"), "left_semi").join(tails, F.col("dst") == F.col("_s"), "left_semi"))
+        for _ in range(STEPS_PER_CUT):
+            heads = current.select(F.col("dst").alias("_d")).distinct()
+            tails = current.select(F.col("src").alias("_s")).distinct()
+            current = current.join(heads, F.col("src") == F.col("_d"), "left_semi").join(tails, F.col("dst") == F.col("_s"), "left_semi")
+        current = cut(current)
         left = current.count()
         if left == count:
             break
@@ -41,8 +45,11 @@ def strongly_connected(links: DataFrame, rounds: int = 200) -> DataFrame:
     while not rest.isEmpty():
         colour = cut(rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct().withColumn("label", F.col("node")))
         for _ in range(rounds):
-            pushed = rest.join(colour, F.col("src") == F.col("node")).select(F.col("dst").alias("_n"), F.col("label").alias("_l")).groupBy("_n").agg(F.min("_l").alias("_l"))
-            joined = cut(colour.join(pushed, F.col("node") == F.col("_n"), "left").select("node", F.least("label", "_l").alias("label"), (F.col("_l") < F.col("label")).alias("moved")))
+            before = colour.select(F.col("node").alias("_was"), F.col("label").alias("_label"))
+            for _ in range(STEPS_PER_CUT):
+                pushed = rest.join(colour, F.col("src") == F.col("node")).select(F.col("dst").alias("_n"), F.col("label").alias("_l")).groupBy("_n").agg(F.min("_l").alias("_l"))
+                colour = colour.join(pushed, F.col("node") == F.col("_n"), "left").select("node", F.least("label", "_l").alias("label"))
+            joined = cut(colour.join(before, F.col("node") == F.col("_was")).select("node", "label", (F.col("label") < F.col("_label")).alias("moved")))
             colour = joined.select("node", "label")
             if joined.filter("moved").isEmpty():
                 break

@@ -7,6 +7,7 @@ grow with depth. Hot nodes are folded before the exchange.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def walk(seeds: DataFrame, links: DataFrame, max_depth: int, stop: DataFrame | N
     ``links`` has ``src`` and ``dst``; ``via`` is the smallest predecessor on a
     shortest way. Nodes of ``stop`` (a column ``key``) are reached but not left.
     """
-    step = links.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    step = links.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     seen = cut(seeds.select("key").distinct().select("key", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("via")))
     frontier = seen
     for depth in range(1, max_depth + 1):
@@ -38,6 +39,7 @@ def walk(seeds: DataFrame, links: DataFrame, max_depth: int, stop: DataFrame | N
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    step.unpersist()  # what is given back rests on checkpoints alone
     return seen
 
 
