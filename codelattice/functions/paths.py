@@ -13,10 +13,20 @@ LANGUAGE_OF_SUFFIX = {
     "sh": "bash", "bash": "bash", "ps1": "powershell", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript",
     "tsx": "typescript", "vue": "vue", "svelte": "svelte", "astro": "astro", "tf": "terraform", "md": "markdown", "markdown": "markdown", "css": "css",
 }
-FAMILY_OF_LANGUAGE = {
-    "javascript": "javascript", "typescript": "javascript", "vue": "javascript", "svelte": "javascript", "astro": "javascript", "java": "jvm", "kotlin": "jvm", "scala": "jvm",
-    "c": "c", "cpp": "c", "objc": "c", "python": "python", "notebook": "python",
+FAMILY_OF_SUFFIX = {
+    "py": "python", "pyi": "python", "ipynb": "python", "rs": "rust", "c": "c", "h": "c", "cc": "c", "cpp": "c", "cxx": "c", "hh": "c", "hpp": "c", "hxx": "c", "m": "c", "mm": "c",
+    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "javascript", "tsx": "javascript", "mts": "javascript", "cts": "javascript", "vue": "javascript",
+    "svelte": "javascript", "java": "jvm", "kt": "jvm", "kts": "jvm", "scala": "jvm", "sc": "jvm", "cs": "csharp", "go": "go", "rb": "ruby", "php": "php", "swift": "swift", "dart": "dart",
+    "lua": "lua", "pl": "perl", "pm": "perl", "r": "r", "jl": "julia", "ex": "elixir", "exs": "elixir", "zig": "zig", "gd": "gdscript", "sh": "bash", "bash": "bash", "zsh": "bash",
 }
+TEST_PARTS = ["tests", "test", "__tests__", "spec", "testdata"]
+NON_PRODUCTION_PARTS = ["examples", "example", "benches", "bench", "fixtures", "generated", "vendor"]
+NON_PRODUCTION_NAMES = ["build.rs", "setup.py", "conftest.py"]
+CODE_LANGUAGES = [
+    "python", "rust", "typescript", "tsx", "javascript", "go", "java", "kotlin", "scala", "c", "cpp", "csharp", "objc", "swift", "ruby", "php", "perl", "lua", "dart", "elixir", "julia",
+    "r", "zig", "gdscript", "bash", "vue",
+]
+TEST_NAME = r"(^|/)test_[^/]*$|_test\.[^/]*$|\.test\.[^/]*$|\.spec\.[^/]*$|(^|/)conftest\.py$"
 
 
 def suffix(path: Column) -> Column:
@@ -35,9 +45,9 @@ def shebang_language(first_line: Column) -> Column:
 
 
 def family_of(path: Column) -> Column:
-    language = language_of(path)
-    table = F.create_map(*[F.lit(x) for pair in FAMILY_OF_LANGUAGE.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, language), language)
+    """Languages that call each other by name share a family; null for unknown suffixes."""
+    table = F.create_map(*[F.lit(x) for pair in FAMILY_OF_SUFFIX.items() for x in pair])
+    return F.try_element_at(table, suffix(path))
 
 
 def same_family(a: Column, b: Column) -> Column:
@@ -53,13 +63,22 @@ def parts_of(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
 
 
+def has_part(path: Column, parts: list[str]) -> Column:
+    return path.rlike(f"(^|/)({'|'.join(parts)})(/|$)")
+
+
 def is_test_path(path: Column) -> Column:
-    return F.lower(path).rlike(r"(^|/)(tests?|__tests__|spec|specs|testing)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$|(^|/)conftest\.py$")
+    """A test by its folder or name; in Go only ``_test.go`` names one."""
+    named = F.when(path.endswith(".go"), path.endswith("_test.go")).otherwise(path.rlike(TEST_NAME))
+    return has_part(path, TEST_PARTS) | named
 
 
-def is_production_path(path: Column) -> Column:
-    other = F.lower(path).rlike(r"(^|/)(examples?|benches|benchmarks?|fixtures?|testdata|generated|__generated__|vendor|third_party|node_modules)/")
-    return ~is_test_path(path) & ~other
+def is_production_path(path: Column, language: Column | None = None) -> Column:
+    """Neither test nor build script, example, bench, fixture or generated file; with a language, one of code."""
+    name = F.substring_index(path, "/", -1)
+    other = has_part(path, NON_PRODUCTION_PARTS) | name.isin(NON_PRODUCTION_NAMES) | name.contains("_pb2") | name.contains(".generated.")
+    code = F.lit(True) if language is None else F.coalesce(F.lower(language).isin(CODE_LANGUAGES), F.lit(False))
+    return ~is_test_path(path) & ~other & code
 
 
 def is_documentation(language: Column, path: Column) -> Column:

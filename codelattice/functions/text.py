@@ -6,18 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: words that make a symbol security-relevant, and words that only look so
-SECURITY_PREFIXES = ["auth", "login", "password", "token", "session", "crypt", "secret", "credential", "permission", "sql", "execute", "sanitize", "encrypt"]
-SECURITY_EXCLUDED = ["author", "authors", "authority", "authored", "tokenize", "tokenizer", "tokenizers", "tokenization", "tokens", "sessions"]
-SEARCH_STOPWORDS = ["the", "a", "an", "of", "to", "in", "is", "are", "for", "and", "or", "with", "how", "what", "where", "when", "does", "do", "find", "show", "all", "that"]
+SECURITY_PREFIXES = ["auth", "login", "password", "token", "session", "crypt", "secret", "credential", "permission", "sql", "execute", "encrypt", "decrypt"]
+SECURITY_EXCLUDED = [
+    "hashmap", "hashmaps", "hashset", "hashsets", "hashtable", "hashtables", "signal", "signals", "signaled", "signaling", "signalled", "signalling",
+    "significant", "significance", "significantly", "signify", "author", "authors", "authored", "authoring", "authorship",
+]
+SEARCH_STOPWORDS = [
+    "the", "a", "an", "is", "are", "for", "of", "to", "in", "on", "by", "with", "from", "and", "or", "not", "where", "how", "what", "which", "find", "show", "list", "all", "any",
+    "this", "that", "these", "those", "it", "we", "do", "does", "did",
+]
 
 
 def identifier_words(text: Column) -> Column:
-    """Lower-case words of an identifier, cut at marks, case changes, acronyms and digits."""
-    spaced = F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")
-    spaced = F.regexp_replace(spaced, r"(\p{Lu}+)(\p{Lu}\p{Ll})", "$1 $2")
-    spaced = F.regexp_replace(spaced, r"(\p{Ll})(\p{Lu})", "$1 $2")
-    spaced = F.regexp_replace(spaced, r"(\p{L})(\p{N})", "$1 $2")
-    spaced = F.regexp_replace(spaced, r"(\p{N})(\p{L})", "$1 $2")
+    """Lower-case words of an identifier (ASCII letters and digits), cut at marks, case changes, acronyms and digits."""
+    spaced = F.regexp_replace(text, r"[^A-Za-z0-9]+", " ")
+    spaced = F.regexp_replace(spaced, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    spaced = F.regexp_replace(spaced, r"([a-z])([A-Z])", "$1 $2")
+    spaced = F.regexp_replace(spaced, r"([A-Za-z])([0-9])", "$1 $2")
+    spaced = F.regexp_replace(spaced, r"([0-9])([A-Za-z])", "$1 $2")
     return F.filter(F.split(F.lower(F.trim(spaced)), " +"), lambda w: w != "")
 
 
@@ -113,7 +119,8 @@ def query_words(text: Column) -> Column:
 
 def identifiers_of(text: Column) -> Column:
     """Distinct snake_case or mixed-case words that are no stop words."""
-    return F.array_distinct(F.filter(query_words(text), lambda w: (w.contains("_") | w.rlike("[a-z][A-Z]")) & ~F.lower(w).isin(SEARCH_STOPWORDS)))
+    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]+)"), 1)
+    return F.array_distinct(F.filter(words, lambda w: (w.contains("_") | w.rlike("^.+[A-Z]")) & ~F.lower(w).isin(SEARCH_STOPWORDS)))
 
 
 def mixed_bigrams(text: Column) -> Column:

@@ -21,12 +21,18 @@ WITH_REC = f"WITH RECURSIVE {NODES_CTE}, {EDGES_CTE}"
 EFF_TIER_SQL = "upper(coalesce(nullif(trim(confidence_tier), ''), json_extract_string(extra, '$.confidence_tier'), 'EXTRACTED'))"
 REPORTABLE_SQL = f"(kind = 'CROSS_ARTIFACT' AND NOT starts_with(source_qualified, '<unresolved:') AND NOT starts_with(target_qualified, '<unresolved:') AND {EFF_TIER_SQL} IN ('EXACT','HIGH','EXTRACTED'))"
 PACKAGE_SQL = "CASE WHEN contains({0}, '/') THEN regexp_extract({0}, '^(.*)/[^/]*$', 1) ELSE '<root>' END"
-TEST_PATH_SQL = r"regexp_matches(lower({0}), '(^|/)(tests?|__tests__|spec|specs|testing)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$|(^|/)conftest\.py$')"
+TEST_PATH_SQL = (
+    "(regexp_matches({0}, '(^|/)(" + "|".join(paths.TEST_PARTS) + ")(/|$)') OR CASE WHEN ends_with({0}, '.go') THEN ends_with({0}, '_test.go') ELSE regexp_matches({0}, '" + paths.TEST_NAME + "') END)"
+)
+DECORATED_SQL = (
+    "len(list_filter(CASE WHEN json_type(extra, '$.decorators') = 'ARRAY' THEN json_extract_string(extra, '$.decorators[*]') ELSE [json_extract_string(extra, '$.decorators')] END, "
+    f"lambda x: regexp_matches(coalesce(x, ''), '{traversal.ENTRY_DECORATORS}'))) > 0"
+)
 
 
 def words_sql(column: str) -> str:
-    out = f"regexp_replace({column}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
-    for pattern in [r"(\p{Lu}+)(\p{Lu}\p{Ll})", r"(\p{Ll})(\p{Lu})", r"(\p{L})(\p{N})", r"(\p{N})(\p{L})"]:
+    out = f"regexp_replace({column}, '[^A-Za-z0-9]+', ' ', 'g')"
+    for pattern in [r"([A-Z]+)([A-Z][a-z])", r"([a-z])([A-Z])", r"([A-Za-z])([0-9])", r"([0-9])([A-Za-z])"]:
         out = f"regexp_replace({out}, '{pattern}', '\\1 \\2', 'g')"
     return f"list_filter(string_split_regex(lower(trim({out})), ' +'), lambda x: x <> '')"
 
@@ -376,9 +382,9 @@ def tests_reaching(spark, d):
 
 
 _ENTRY = f"""c AS (SELECT DISTINCT target_qualified q FROM e WHERE kind = 'CALLS'),
-x AS (SELECT n.*, c.q FROM n LEFT JOIN c ON n.qualified_name = c.q WHERE n.kind = 'Function' AND NOT coalesce(n.is_test, false)),
-en AS (SELECT qualified_name, CASE WHEN name IN ('main', '__main__') THEN 'main' WHEN regexp_matches(coalesce(json_extract_string(extra, '$.decorators'), ''), '{traversal.ENTRY_DECORATORS}') THEN 'framework_handler'
- WHEN json_extract_string(extra, '$.ffi_export') = 'true' THEN 'ffi_export' WHEN q IS NOT NULL THEN NULL WHEN regexp_matches(name, '{traversal.ENTRY_NAMES}') THEN 'named_entry' WHEN coalesce(parent_name, '') <> '' THEN 'dispatched_method' ELSE 'uncalled' END entry_kind FROM x)"""
+x AS (SELECT n.*, c.q FROM n LEFT JOIN c ON n.qualified_name = c.q WHERE n.kind IN ('Function', 'File') AND NOT coalesce(n.is_test, false) AND NOT {TEST_PATH_SQL.format('n.file_path')}),
+en AS (SELECT qualified_name, CASE WHEN kind = 'File' THEN CASE WHEN q IS NULL AND lower(coalesce(language, '')) NOT IN ({", ".join(f"'{x}'" for x in traversal.NO_TOP_LEVEL_CODE)}) THEN 'module_level' END WHEN name IN ('main', '__main__') THEN 'main' WHEN {DECORATED_SQL} THEN 'framework_handler'
+ WHEN json_extract_string(extra, '$.ffi_export') IS NOT NULL THEN 'ffi_export' WHEN q IS NOT NULL THEN NULL WHEN regexp_matches(name, '{traversal.ENTRY_NAMES}') THEN 'named_entry' WHEN parent_name IS NOT NULL THEN 'dispatched_method' ELSE 'uncalled' END entry_kind FROM x)"""
 
 
 @query(f"{WITH}, {_ENTRY} SELECT qualified_name, entry_kind FROM en WHERE entry_kind IS NOT NULL")

@@ -11,12 +11,30 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..session import cut
 from .lookup import is_low_confidence_bridge, is_reportable_bridge
 
 # fixed values: names by which entry points go
-ENTRY_NAMES = r"^(main|__main__|run|start|serve|handler|handle|lambda_handler|setup|on_[a-z_]+|handle_[a-z_]+|cmd_[a-z_]+|cli|app|execute|entrypoint|index|upgrade|downgrade|configure|register|worker|job_[a-z_]+)$"
-ENTRY_DECORATORS = r"(route|get|post|put|delete|patch|command|group|task|fixture|websocket|middleware|listener|subscriber|receiver|event|hook|tool|resource|prompt|cron|schedule|endpoint|api_view|action|app\.|router\.|click\.|celery)"
+ENTRY_NAME_PATTERNS = [
+    r"^main$", r"^__main__$", r"^test_", r"^Test[A-Z]", r"^on_", r"^handle_", r"^handler$", r"^handle$", r"^lambda_handler$", r"^upgrade$", r"^downgrade$", r"^lifespan$", r"^get_db$",
+    r"^on(Create|Start|Resume|Pause|Stop|Destroy|Bind|Receive)", r"^do(Get|Post|Put|Delete)$", r"^do_(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)$", r"^log_message$", r"^(middleware|errorHandler)$",
+    r"^ng(OnInit|OnChanges|OnDestroy|DoCheck|AfterContentInit|AfterContentChecked|AfterViewInit|AfterViewChecked)$", r"^(transform|writeValue|registerOnChange|registerOnTouched|setDisabledState)$",
+    r"^(canActivate|canDeactivate|canActivateChild|canLoad|canMatch|resolve)$", r"^(componentDidMount|componentDidUpdate|componentWillUnmount|shouldComponentUpdate|render)$",
+]
+DECORATOR_PATTERNS = [
+    r"(?i)app\.(get|post|put|delete|patch|route|websocket|on_event)", r"(?i)router\.(get|post|put|delete|patch|route)", r"(?i)blueprint\.(route|before_request|after_request)",
+    r"(?i)(before|after)_(request|response)", r"(?i)click\.(command|group)", r"(?i)\w+\.(command|group)\b", r"(?i)(field|model)_(serializer|validator)",
+    r"(?i)(celery\.)?(task|shared_task|periodic_task)", r"(?i)receiver", r"(?i)api_view", r"(?i)\baction\b", r"pytest\.(fixture|mark)", r"(?i)(override_settings|modify_settings)",
+    r"(?i)(event\.)?listens_for", r"(?i)(Get|Post|Put|Delete|Patch|RequestMapping)Mapping", r"(?i)(Scheduled|EventListener|Bean|Configuration)",
+    r"(?i)(Component|Injectable|Controller|Module|Guard|Pipe)", r"(?i)(Subscribe|Mutation|Query|Resolver)", r"^(Get|Post|Put|Delete|Patch|Options|Head|All)$",
+    r"^(MessagePattern|EventPattern|Cron|Interval|Timeout|OnEvent|Process|Processor|SubscribeMessage|WebSocketGateway|HostListener)$", r"(app|router)\.(get|post|put|delete|patch|use|all)\b",
+    r"(?i)@(Override|OnLifecycleEvent|Composable)", r"(?i)(HiltViewModel|AndroidEntryPoint|Inject)", r"(?i)\w+\.(tool|tool_plain|prompt|resource|system_prompt|result_validator)\b", r"^tool\b",
+    r"(?i)\w+\.(middleware|exception_handler|on_exception)\b", r"(?i)\w+\.route\b",
+]
+NO_TOP_LEVEL_CODE = ["rust", "go", "java", "kotlin", "c", "cpp", "csharp", "swift", "scala", "dart", "zig", "objc"]
+ENTRY_NAMES = "|".join(f"(?:{p})" for p in ENTRY_NAME_PATTERNS)
+ENTRY_DECORATORS = "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in DECORATOR_PATTERNS)
 CALLER_TEST_DEPTH = {"rust": None, "javascript": 8, "typescript": 8}
 DEFAULT_TEST_DEPTH = 4
 NEW_ROW_CAP = 500
@@ -104,18 +122,24 @@ def caller_test_depth(language: str | None) -> int | None:
 
 
 def has_entry_decorator() -> Column:
-    """Decorators are a string or an array in ``extra``; both spellings are one text here."""
-    return F.coalesce(F.get_json_object("extra", "$.decorators").rlike(ENTRY_DECORATORS), F.lit(False))
+    """Decorators are a string or an array in ``extra``; each is tried on its own."""
+    told = F.get_json_object("extra", "$.decorators")
+    each = F.when(told.startswith("["), F.from_json(told, "array<string>")).otherwise(F.array(told))
+    return F.coalesce(F.exists(each, lambda x: F.coalesce(x.rlike(ENTRY_DECORATORS), F.lit(False))), F.lit(False))
 
 
 def entry_points(nodes: DataFrame, edges: DataFrame, include_tests: bool = False) -> DataFrame:
-    """Functions by which the program is entered, with the kind of entry."""
-    kinds = ["Function", "Test"] if include_tests else ["Function"]
+    """Functions by which the program is entered, and files whose own code runs, with the kind of entry."""
+    kinds = ["Function", "Test", "File"] if include_tests else ["Function", "File"]
     called = edges.filter("kind = 'CALLS'").select(F.col("target_qualified").alias("_called")).distinct()
-    asked = nodes.filter(F.col("kind").isin(kinds) & (F.lit(include_tests) | ~F.coalesce("is_test", F.lit(False)))).join(called, F.col("qualified_name") == F.col("_called"), "left")
+    test = F.coalesce("is_test", F.lit(False)) | paths.is_test_path(F.col("file_path"))
+    asked = nodes.filter(F.col("kind").isin(kinds) & (F.lit(include_tests) | ~test)).join(called, F.col("qualified_name") == F.col("_called"), "left")
+    used = F.col("_called").isNotNull()
+    runs = ~F.lower(F.coalesce("language", F.lit(""))).isin(NO_TOP_LEVEL_CODE)
     kind = (
-        F.when(F.col("name").isin("main", "__main__"), "main").when(has_entry_decorator(), "framework_handler").when(F.get_json_object("extra", "$.ffi_export") == "true", "ffi_export")
-        .when(F.col("_called").isNotNull(), F.lit(None)).when(F.col("name").rlike(ENTRY_NAMES), "named_entry").when(F.coalesce("parent_name", F.lit("")) != "", "dispatched_method").otherwise("uncalled")
+        F.when(F.col("kind") == "File", F.when(runs & ~used, "module_level")).when(F.col("name").isin("main", "__main__"), "main").when(has_entry_decorator(), "framework_handler")
+        .when(F.get_json_object("extra", "$.ffi_export").isNotNull(), "ffi_export").when(used, F.lit(None)).when(F.col("name").rlike(ENTRY_NAMES), "named_entry")
+        .when(F.col("parent_name").isNotNull(), "dispatched_method").otherwise("uncalled")
     )
     return asked.withColumn("entry_kind", kind).filter("entry_kind IS NOT NULL").drop("_called")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .graph_queries import EFF_TIER_SQL, REPORTABLE_SQL, SEED_CALLEE, SEED_FILE, WITH, WITH_REC, both, file_links, keys, words_sql
-from .operators import components, ranking, traversal
+from .functions import paths
+from .graph_queries import REPORTABLE_SQL, SEED_CALLEE, TEST_PATH_SQL, WITH, WITH_REC, both, file_links, keys
+from .operators import components, traversal
 from .plans import architecture, changes, passes, refactoring
 from .schema import TIER_SQL
 from .session import load
@@ -15,15 +16,9 @@ ORACLES: dict[str, str] = {}
 
 BARE_SQL = "(NOT contains({0}, '::') AND NOT contains({0}, '/') AND NOT starts_with({0}, '<') AND {0} <> '')"
 EXTERNAL_SQL = "coalesce(json_extract_string(extra, '$.external') = 'true', false)"
-FAMILY = {
-    "py": "python", "pyi": "python", "ipynb": "python", "rs": "rust", "go": "go", "java": "jvm", "kt": "jvm", "scala": "jvm", "cs": "csharp", "c": "c", "h": "c", "cc": "c", "cpp": "c", "hpp": "c",
-    "rb": "ruby", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "ts": "javascript", "tsx": "javascript", "vue": "javascript", "md": "markdown", "css": "css", "sh": "bash", "php": "php", "swift": "swift",
-}
-
-
 def family_sql(column: str) -> str:
     suffix = rf"lower(regexp_extract({column}, '[^/.][^/]*\.([^./]+)$', 1))"
-    return f"CASE {suffix} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FAMILY.items()) + " END"
+    return f"CASE {suffix} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in paths.FAMILY_OF_SUFFIX.items()) + " END"
 
 
 def scope_sql(column: str) -> str:
@@ -186,10 +181,13 @@ def stability_profiles(spark, d):
     return architecture.profiles(n, architecture.scope_dependencies(n, e))
 
 
-_PROD = r"(NOT regexp_matches(lower({0}), '(^|/)(tests?|__tests__|spec|specs|testing)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$|(^|/)conftest\.py$') AND NOT regexp_matches(lower({0}), '(^|/)(examples?|benches|benchmarks?|fixtures?|testdata|generated|__generated__|vendor|third_party|node_modules)/'))"
+_PROD = (
+    "(NOT " + TEST_PATH_SQL.replace("{0}", "{0}.file_path") + " AND NOT regexp_matches({0}.file_path, '(^|/)(" + "|".join(paths.NON_PRODUCTION_PARTS) + ")(/|$)') AND string_split({0}.file_path, '/')[-1] NOT IN ('build.rs', 'setup.py', 'conftest.py')"
+    " AND NOT contains(string_split({0}.file_path, '/')[-1], '_pb2') AND NOT contains(string_split({0}.file_path, '/')[-1], '.generated.') AND coalesce(lower({0}.language) IN (" + ", ".join(f"'{x}'" for x in paths.CODE_LANGUAGES) + "), false))"
+)
 
 
-@query(f"""{WITH}, u AS (SELECT n.qualified_name, count(DISTINCT e.file_path) k FROM e JOIN n ON e.target_qualified = n.qualified_name WHERE e.kind = 'CALLS' AND n.kind IN ('Function', 'Class') AND {_PROD.format('n.file_path')} AND e.file_path <> n.file_path GROUP BY 1),
+@query(f"""{WITH}, u AS (SELECT n.qualified_name, count(DISTINCT e.file_path) k FROM e JOIN n ON e.target_qualified = n.qualified_name WHERE e.kind = 'CALLS' AND n.kind IN ('Function', 'Class') AND {_PROD.format('n')} AND e.file_path <> n.file_path GROUP BY 1),
 s AS (SELECT list_sort(list(k)) l FROM u), t AS (SELECT greatest(l[least(len(l) * 95 // 100, len(l) - 1) + 1], 5) p FROM s)
 SELECT qualified_name, k AS using_files FROM u, t WHERE k >= p AND qualified_name NOT IN (SELECT source_qualified FROM e WHERE kind = 'TESTED_BY')""")
 def untested_core(spark, d):
@@ -256,7 +254,7 @@ def one_sided_bridges(spark, d):
 
 @query(f"""{WITH_REC}, f AS (SELECT source_qualified src, target_qualified dst FROM e WHERE kind = 'CALLS' UNION SELECT target_qualified, source_qualified FROM e WHERE kind = 'TESTED_BY'),
 w AS (SELECT qualified_name k, 0 dep FROM n WHERE kind = 'Test' OR is_test UNION SELECT f.dst, dep + 1 FROM w JOIN f ON f.src = w.k WHERE dep < 4)
-SELECT qualified_name FROM n WHERE kind = 'Function' AND NOT coalesce(is_test, false) AND {_PROD.format('file_path')} AND file_path LIKE '%/core/%' AND qualified_name NOT IN (SELECT k FROM w WHERE k IS NOT NULL)""")
+SELECT qualified_name FROM n WHERE kind = 'Function' AND NOT coalesce(is_test, false) AND {_PROD.format('n')} AND file_path LIKE '%/core/%' AND qualified_name NOT IN (SELECT k FROM w WHERE k IS NOT NULL)""")
 def untested_changes(spark, d):
     n, e = both(spark, d)
     changed = n.filter("file_path LIKE '%/core/%'").select(F.col("file_path").alias("key")).distinct()
@@ -289,7 +287,7 @@ def contract_docs(spark, d):
 
 @query(rf"""{WITH}, used AS (SELECT DISTINCT target_qualified u FROM e WHERE source_qualified <> target_qualified AND (kind IN ('CALLS','IMPORTS_FROM','REFERENCES','INHERITS','IMPLEMENTS','DEPENDS_ON') OR {REPORTABLE_SQL}) UNION SELECT source_qualified FROM e WHERE kind = 'TESTED_BY'),
 bare AS (SELECT DISTINCT regexp_replace(target_qualified, '^<unresolved:(.*)>$', '\1') nm, {family_sql('file_path')} fam FROM e WHERE kind IN ('CALLS','REFERENCES','INHERITS','IMPLEMENTS') AND NOT contains(target_qualified, '::')),
-c AS (SELECT *, {family_sql('file_path')} fam, CASE WHEN coalesce(is_test, false) OR regexp_matches(lower(file_path), '(^|/)(tests?|__tests__|spec|specs|testing)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$|(^|/)conftest\.py$') THEN 1 WHEN regexp_matches(name, '^__.*__$') THEN 1 WHEN regexp_matches(name, '{traversal.ENTRY_NAMES}') THEN 1
+c AS (SELECT *, {family_sql('file_path')} fam, CASE WHEN coalesce(is_test, false) OR {TEST_PATH_SQL.format('file_path')} THEN 1 WHEN regexp_matches(name, '^__.*__$') THEN 1 WHEN regexp_matches(name, '{traversal.ENTRY_NAMES}') THEN 1
  WHEN json_extract_string(extra, '$.decorators') IS NOT NULL THEN 1 WHEN json_extract_string(extra, '$.ffi_export') = 'true' THEN 1 WHEN json_extract_string(extra, '$.is_contract') = 'true' OR json_extract_string(extra, '$.is_abstract') = 'true' THEN 1
  WHEN json_extract_string(extra, '$.type_role') IN ('record','enum','config') THEN 1 WHEN lower(coalesce(language, '')) = 'markdown' OR lower(regexp_extract(file_path, '[^/.][^/]*\.([^./]+)$', 1)) IN ('md','markdown','rst','adoc') THEN 1 ELSE 0 END ex FROM n WHERE kind IN ('Function', 'Class', 'Type'))
 SELECT qualified_name, kind, name, file_path FROM c WHERE ex = 0 AND qualified_name NOT IN (SELECT u FROM used WHERE u IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM bare WHERE nm = c.name AND bare.fam IS NOT DISTINCT FROM c.fam)""")

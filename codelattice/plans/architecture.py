@@ -71,7 +71,7 @@ def profiles(nodes: DataFrame, dependencies: DataFrame, depth: int = 2) -> DataF
 
 def untested_core(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Production functions used by at least max(p95, 5) other files without a test."""
-    code = nodes.filter(F.col("kind").isin("Function", "Class") & paths.is_production_path(F.col("file_path"))).select("qualified_name", F.col("file_path").alias("own_file"))
+    code = nodes.filter(F.col("kind").isin("Function", "Class") & paths.is_production_path(F.col("file_path"), F.col("language"))).select("qualified_name", F.col("file_path").alias("own_file"))
     uses = edges.filter("kind = 'CALLS'").join(code, F.col("target_qualified") == F.col("qualified_name")).filter("file_path <> own_file")
     files = uses.select("qualified_name", "file_path").distinct().groupBy("qualified_name").agg(F.count(F.lit(1)).alias("using_files"))
     p95 = ranking.indexed_percentile(files.withColumn("_all", F.lit(1)), ["_all"], "using_files", 95, "p95").select(F.greatest("p95", F.lit(5)).alias("threshold"))

