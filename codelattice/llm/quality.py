@@ -89,15 +89,14 @@ MEASURES = ["n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punct
 _TYPES = "n_words long, mean_word_length double, symbol_ratio double, digit_ratio double, punct_line_share double, common_word_share double, bullet_line_share double, table_line_share double, sentence_share double"
 
 
-def _line_counts(line: str) -> tuple[int, int, int, int, int, int, int, int]:
-    """(non-blank characters, the same outside code spans, letters, words, common words, code marks, kana, letters outside spans)."""
+def _line_counts(line: str) -> tuple[int, int, int, int, int, int, int]:
+    """Of a line outside code spans, after its non-blank characters in all: (all, outside, letters, words, common words, code marks, kana)."""
     solid = len("".join(line.split()))
     plain = _CODE_SPAN.sub(" ", line) if "`" in line else line
     left = solid if plain is line else len("".join(plain.split()))
     words = _WORD.findall(plain.lower())
-    letters = sum(map(len, words))
     kana = 0 if plain.isascii() else len(_KANA.findall(plain))
-    return solid, left, letters, len(words), sum(w in _COMMON for w in words), len(plain) - len(_MARK.sub("", plain)), kana, letters
+    return solid, left, sum(map(len, words)), len(words), sum(w in _COMMON for w in words), len(plain) - len(_MARK.sub("", plain)), kana
 
 
 def _sentence_like(left: int, letters: int, words: int, common: int, marks: int, kana: int) -> bool:
@@ -111,65 +110,73 @@ def _sentence_like(left: int, letters: int, words: int, common: int, marks: int,
     return common >= LINE_WORDS * words
 
 
-def sentence_characters(lines: list[str]) -> int:
-    """Non-blank characters that stand in sentences.
+class _Run:
+    """Lines of a paragraph that are read together."""
 
-    Lines of a paragraph that are neither list items nor rows of a table are
-    read together, so wrapped prose counts as a whole.
-    """
-    total, run = 0, [0] * 7
+    def __init__(self):
+        self.counts, self.sentences = None, 0
 
-    def close() -> None:
-        nonlocal total, run
-        if run[0] and _sentence_like(*run[1:]):
-            total += run[0]
-        run = [0] * 7
+    def add(self, counts) -> None:
+        self.counts = counts if self.counts is None else tuple(x + y for x, y in zip(self.counts, counts))
 
-    for line in lines:
-        if not line:
-            close()
-            continue
-        item = _BULLET.match(line)
-        counts = _line_counts(line[item.end():] if item else line)[:7]
-        solid, left, letters, _, _, marks, _ = counts
-        if item:
-            close()
-            run = list(counts)
-            close()
-        elif (left and (marks > SYMBOL_LIMIT * left or letters < LETTER_LEAST * left)) or (_TABLE.search(line) and not _sentence_like(*counts[1:])):
-            close()
-        else:
-            run = [x + y for x, y in zip(run, counts)]
-    close()
-    return total
+    def close(self) -> None:
+        if self.counts is not None:
+            if _sentence_like(*self.counts[1:]):
+                self.sentences += self.counts[0]
+            self.counts = None
 
 
 def measure(text: str | None) -> tuple:
-    """The statistics of one text, in the order of ``MEASURES``."""
+    """The statistics of one text, in the order of ``MEASURES``.
+
+    Sentences are looked for in runs of lines: lines of a paragraph that are
+    neither list items nor rows of a table nor code are read together, so
+    wrapped prose counts as a whole; a list item is read on its own.
+    """
     text = (text or "").replace("\r\n", "\n").replace("\r", "\n")
     solid = len("".join(text.split()))
     if not solid:
         return 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
-    words = _WORD.findall(text.lower())
-    wide = kana = 0
+    wide = kana = n_lines = n_bullets = n_rows = n_paragraphs = n_ended = letters = n_words = n_common = 0
     if not text.isascii():
         wide, kana = len(_WIDE.findall(text)), len(_KANA.findall(text))
-    stripped = [_QUOTE.sub("", x).strip() if x.lstrip().startswith(">") else x.strip() for x in text.split("\n")]
-    lines = [x for x in stripped if x]
-    paragraphs = [x for x, after in zip(stripped, [*stripped[1:], ""]) if x and not after]  # their last lines
-    letters = sum(map(len, words))
+    run, last = _Run(), ""
+    for raw in text.split("\n"):
+        line = _QUOTE.sub("", raw).strip() if raw.lstrip().startswith(">") else raw.strip()
+        if not line:
+            run.close()
+            if last:
+                n_paragraphs, n_ended, last = n_paragraphs + 1, n_ended + bool(_END.search(last)), ""
+            continue
+        last = line
+        item, row = _BULLET.match(line), _TABLE.search(line) is not None
+        counts = _line_counts(line[item.end():] if item else line)
+        n_lines, n_bullets, n_rows = n_lines + 1, n_bullets + (item is not None), n_rows + row
+        if item or "`" in line:  # the item's mark and code spans count as text too
+            words = _WORD.findall(line.lower())
+            letters, n_words, n_common = letters + sum(map(len, words)), n_words + len(words), n_common + sum(w in _COMMON for w in words)
+        else:
+            letters, n_words, n_common = letters + counts[2], n_words + counts[3], n_common + counts[4]
+        _, left, line_letters, _, _, marks, _ = counts
+        if item:
+            run.close()
+            run.add(counts)
+            run.close()
+        elif (left and (marks > SYMBOL_LIMIT * left or line_letters < LETTER_LEAST * left)) or (row and not _sentence_like(*counts[1:])):
+            run.close()
+        else:
+            run.add(counts)
+    run.close()
+    if last:
+        n_paragraphs, n_ended = n_paragraphs + 1, n_ended + bool(_END.search(last))
     digits = len(text) - len(_DIGIT.sub("", text))
-    common = sum(w in _COMMON for w in words) / len(words) if words else 0.0
+    mean, common = (letters / n_words, n_common / n_words) if n_words else (0.0, 0.0)
+    words_told = n_words
     if wide > solid / 2:  # words are not parted by blanks: two characters are about a word, kana are its common words
-        n_words, mean, common = wide // 2, 2.0, min(1.0, kana / wide)
-    else:
-        n_words, mean = len(words), letters / len(words) if words else 0.0
-    n = max(1, len(lines))
-    return (
-        n_words, mean, max(0, solid - letters - digits) / solid, digits / solid,
-        sum(bool(_END.search(p)) for p in paragraphs) / max(1, len(paragraphs)), common,
-        sum(bool(_BULLET.match(x)) for x in lines) / n, sum(bool(_TABLE.search(x)) for x in lines) / n, min(1.0, sentence_characters(stripped) / solid),
-    )
+        words_told, mean, common = wide // 2, 2.0, min(1.0, kana / wide)
+    n = max(1, n_lines)
+    symbols = max(0, solid - letters - digits) / solid
+    return words_told, mean, symbols, digits / solid, n_ended / max(1, n_paragraphs), common, n_bullets / n, n_rows / n, min(1.0, run.sentences / solid)
 
 
 def _vector(stats: tuple) -> list[float]:
