@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..operators.store import replace_files, upsert_nodes
 from ..session import ensure_checkpoint_dir
 
+BLOCK_GAPS = 64  # length of a block of time in gaps
+
 BATCHES = "key string, batch_start double, batch_end double, n_events long, paths array<string>"
 
 
@@ -34,13 +36,23 @@ def close_times(times: list[float], gap: float, cap: float) -> list[list[int]]:
 def debounced(events: DataFrame, key: str, at: str, gap: float, cap: float) -> DataFrame:
     """``key, batch_start, batch_end, n_events`` of a table of events (``at`` in seconds).
 
-    Quiet gaps cut the events of a key into islands; an island that is longer
-    than the cap is cut again from its first event on, by an expression over its
-    own sorted times, so no key is worked through in one piece.
+    Quiet gaps cut the events of a key into islands. Neighbours are compared
+    within blocks of time; only the first and last event of a block meet in a
+    window over the key, so a busy key is spread over as many tasks as it has
+    blocks. An island that is longer than the cap is cut again from its first
+    event on, by an expression over its own sorted times.
     """
-    order = W.partitionBy(key).orderBy(at)
-    far = F.coalesce(F.col(at) - F.lag(at).over(order) > gap, F.lit(True)).cast("long")
-    islands = events.select(F.col(key).cast("string").alias(key), at).filter(F.col(at).isNotNull()).withColumn("_new", far).withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    width = max(gap, 1e-9) * BLOCK_GAPS
+    timed = events.select(F.col(key).cast("string").alias(key), F.col(at).cast("double").alias(at)).filter(F.col(at).isNotNull()).withColumn("_block", F.floor(F.col(at) / width))
+    order = W.partitionBy(key, "_block").orderBy(at)
+    local = timed.withColumn("_new", F.coalesce(F.col(at) - F.lag(at).over(order) > gap, F.lit(False)).cast("long"))
+    local = local.withColumn("_inside", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    blocks = local.groupBy(key, "_block").agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.sum("_new").alias("_news"))
+    over = W.partitionBy(key).orderBy("_block")
+    opens = F.coalesce(F.col("_first") - F.lag("_last").over(over) > gap, F.lit(True)).cast("long")
+    blocks = blocks.withColumn("_opens", opens).withColumn("_before", F.sum(F.col("_opens") + F.col("_news")).over(over.rowsBetween(W.unboundedPreceding, 0)) - F.col("_news"))
+    offsets = blocks.select(F.col(key).alias("_k"), F.col("_block").alias("_b"), "_before")
+    islands = local.join(offsets, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b"))).select(key, at, (F.col("_before") + F.col("_inside")).alias("_island"))
     packed = islands.groupBy(key, "_island").agg(F.array_sort(F.collect_list(at)).alias("times"))
     empty = F.array().cast("array<struct<s:double,e:double,n:bigint>>")
 
