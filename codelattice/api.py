@@ -109,7 +109,7 @@ def refactor(g: Graph, mode: str = "suggest", old_name: str | None = None, limit
         return {"candidates": refactoring.mentioned_elsewhere(unused, g.sources) if g.sources is not None else unused}
     if mode == "suggest" and g.sources is not None:
         metrics = refactoring.span_metrics(g.nodes, g.sources.filter("content IS NOT NULL"))
-        found = refactoring.suggestions(unused, refactoring.split_candidates(metrics, g.edges), refactoring.undocumented(metrics, g.edges))
+        found = refactoring.suggestions(unused, refactoring.split_candidates(metrics, g.edges, refactoring.concern_profiles(g.nodes, g.edges, g.sources)), refactoring.undocumented(metrics, g.edges))
         return {"suggestions": found.orderBy("rank", F.desc("weight"), "qualified_name").limit(limit)}
     return {"error": "mode must be rename (with old_name), dead_code or suggest (with sources)"}
 

@@ -93,10 +93,10 @@ def signature(kind: Column, name: Column, params: Column, returns: Column) -> Co
 
 
 def parameter_list(params: Column) -> Column:
-    """Parameter names without defaults, annotations, marks and receivers."""
-    inner = F.regexp_replace(F.coalesce(params, F.lit("")), r"^\s*\(|\)\s*$", "")
-    parts = F.transform(F.split(inner, ","), lambda p: F.regexp_extract(F.regexp_replace(F.trim(p), r"^(&|\*|mut\s+|\.\.\.)+", ""), r"^([\p{L}_][\p{L}\p{N}_]*)", 1))
-    return F.filter(parts, lambda p: (p != "") & ~p.isin("self", "cls", "this"))
+    """Parameter names: defaults, annotations, reference marks and the receiver are dropped, of several words the last stays."""
+    inner = F.regexp_replace(F.trim(F.coalesce(params, F.lit(""))), r"^\((.*)\)$", "$1")
+    bare = F.transform(F.split(inner, ","), lambda p: F.trim(F.regexp_replace(F.substring_index(F.substring_index(F.trim(p), "=", 1), ":", 1), r"&|mut ", "")))
+    return F.filter(F.transform(F.filter(bare, lambda p: ~p.isin("self", "cls")), lambda p: F.substring_index(p, " ", -1)), lambda p: p != "")
 
 
 def parameter_shape(params: Column) -> Column:
@@ -138,15 +138,31 @@ def normal_code(text: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
+# fixed values: what branches, what starts a comment line
+BRANCH_TOKENS = [" if ", " elif ", " else ", " for ", " while ", " match ", " case ", " switch ", " catch ", " except ", "&&", "||", "?"]
+COMMENT_MARKS = ["#", "//", '"""', "'''"]
+
+
 def branch_lines(lines: Column) -> Column:
-    """Lines of an array that hold a branching word."""
-    return F.size(F.filter(lines, lambda x: x.rlike(r"\b(if|elif|else if|for|while|case|catch|except|match|when)\b|&&|\|\||\?")))
+    """How many branching tokens the lines of an array hold, each token once a line."""
+    def of(line: Column) -> Column:
+        padded, total = F.concat(F.lit(" "), F.trim(line), F.lit(" ")), F.lit(0)
+        for t in BRANCH_TOKENS:
+            total = total + padded.contains(t).cast("int")
+        return total
+
+    return F.aggregate(lines, F.lit(0), lambda n, line: n + of(line))
 
 
 def comment_lines(lines: Column) -> Column:
-    """Comment lines of an array, block comments included."""
-    step = lambda acc, x: F.struct(
-        (acc["n"] + F.when(acc["inside"] | F.trim(x).rlike(r"^(//|#|\*|/\*|--|\"\"\")"), 1).otherwise(0)).alias("n"),
-        F.when(acc["inside"], ~x.contains("*/")).otherwise(F.trim(x).startswith("/*") & ~x.contains("*/")).alias("inside"),
-    )
+    """Comment lines of an array, those inside block comments included, blank ones not."""
+    def step(acc: Column, line: Column) -> Column:
+        bare = F.trim(line)
+        marked = bare.startswith("/*")
+        for m in COMMENT_MARKS:
+            marked = marked | bare.startswith(m)
+        opens = bare.startswith("/*") & ~bare.contains("*/")
+        counts = (bare != "") & (acc["inside"] | marked)
+        return F.struct((acc["n"] + counts.cast("int")).alias("n"), F.when(acc["inside"], ~bare.contains("*/")).otherwise(opens).alias("inside"))
+
     return F.aggregate(lines, F.struct(F.lit(0).alias("n"), F.lit(False).alias("inside")), step, lambda acc: acc["n"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import paths
+from .functions import paths, text
 from .graph_queries import REPORTABLE_SQL, SEED_CALLEE, TEST_PATH_SQL, WITH, WITH_REC, both, file_links, keys
 from .operators import components, traversal
 from .plans import architecture, changes, passes, refactoring
@@ -296,7 +296,9 @@ def unused_symbols(spark, d):
 
 
 _METRICS = r"""sp AS (SELECT n.qualified_name, n.kind, n.line_end - n.line_start + 1 n_lines, string_split(replace(s.content, chr(13), ''), chr(10))[n.line_start:n.line_end] l FROM n JOIN source_files s ON n.file_path = s.file_path WHERE s.content IS NOT NULL AND n.kind IN ('Function', 'Class', 'Test') AND n.line_start > 0 AND n.line_end >= n.line_start),
-mt AS (SELECT qualified_name, kind, n_lines, len(list_filter(l, lambda x: regexp_matches(x, '\b(if|elif|else if|for|while|case|catch|except|match|when)\b|&&|\|\||\?'))) n_branches FROM sp)"""
+mt AS (SELECT qualified_name, kind, n_lines, coalesce(list_sum(list_transform(l, lambda x: {BRANCHES})), 0)::BIGINT n_branches FROM sp)"""
+_BRANCH_SQL = " + ".join(f"contains(' ' || trim(x) || ' ', '{t}')::INT" for t in text.BRANCH_TOKENS)
+_METRICS = _METRICS.replace("{BRANCHES}", _BRANCH_SQL)
 
 
 @query(f"{WITH}, {_METRICS} SELECT qualified_name, kind, n_lines, n_branches FROM mt")
@@ -305,12 +307,38 @@ def span_metrics(spark, d):
     return refactoring.span_metrics(both(spark, d)[0], stored).select("qualified_name", "kind", "n_lines", "n_branches")
 
 
+def _side(column: str) -> str:
+    return ", ".join("(" + " OR ".join(f"contains({column}, '{p}')" for p in patterns) + f") {key}" for key, patterns in refactoring.SIDE_EFFECTS.items())
+
+
+_SIDES = list(refactoring.SIDE_EFFECTS)
+
+
+@query(f"""{WITH}, cl AS (SELECT e.source_qualified s, e.target_qualified t, c.community_id, list_filter(string_split(string_split(e.target_qualified, '::')[1], '/'), lambda p: p <> '' AND p <> '.') parts FROM e LEFT JOIN (SELECT * FROM n WHERE community_id IS NOT NULL) c ON e.target_qualified = c.qualified_name WHERE e.kind = 'CALLS'),
+sc AS (SELECT s, community_id, lower(t) lt, CASE WHEN t <> '' AND NOT starts_with(t, '<') THEN CASE WHEN starts_with(t, '/') THEN '/' ELSE '' END || CASE WHEN len(parts) <= 1 AND NOT starts_with(t, '/') THEN '.' ELSE array_to_string(parts[1:greatest(len(parts) - 1, 0)], '/') END END scope FROM cl),
+fd AS (SELECT s, count(*) n_calls, count(DISTINCT community_id) n_communities, count(DISTINCT scope) n_scopes, {", ".join(f"bool_or({k}) {k}" for k in _SIDES)} FROM (SELECT *, {_side('lt')} FROM sc) GROUP BY s),
+fn AS (SELECT n.qualified_name, lower(array_to_string(string_split(replace(f.content, chr(13), ''), chr(10))[greatest(n.line_start, 1):n.line_end], chr(10))) txt FROM n LEFT JOIN source_files f ON n.file_path = f.file_path WHERE n.kind = 'Function'),
+fl AS (SELECT qualified_name, {_side("coalesce(txt, '')")} FROM fn)
+SELECT fl.qualified_name, coalesce(fd.n_calls, 0) AS n_calls, coalesce(fd.n_communities, 0) AS n_communities, coalesce(fd.n_scopes, 0) AS n_scopes, {" + ".join(f"(fl.{k} OR coalesce(fd.{k}, false))::INT" for k in _SIDES)} AS n_side_effects FROM fl LEFT JOIN fd ON fl.qualified_name = fd.s""")
+def function_concerns(spark, d):
+    n, e = both(spark, d)
+    found = refactoring.concern_profiles(n, e, load(spark, d, "source_files"))
+    return found.select("qualified_name", "n_calls", "n_communities", "n_scopes", "n_side_effects")
+
+
+@query()
+def concern_scores(spark, d):
+    """Score, reasons and role of every function that mixes concerns."""
+    n, e = both(spark, d)
+    return refactoring.concern_profiles(n, e, load(spark, d, "source_files")).filter("score_ppm > 0").select("qualified_name", "score_ppm", "reasons", "role")
+
+
 @query()
 def suggestions(spark, d):
     """Remove, split and document suggestions with their order and confidence."""
     n, e = both(spark, d)
     metrics = refactoring.span_metrics(n, load(spark, d, "source_files").filter("content IS NOT NULL"))
-    suggested = refactoring.suggestions(refactoring.unused_symbols(n, e), refactoring.split_candidates(metrics, e), refactoring.undocumented(metrics, e))
+    suggested = refactoring.suggestions(refactoring.unused_symbols(n, e), refactoring.split_candidates(metrics, e, refactoring.concern_profiles(n, e, load(spark, d, "source_files"))), refactoring.undocumented(metrics, e))
     profiles = architecture.profiles(n, architecture.scope_dependencies(n, e))
     return refactoring.temper_by_stability(suggested, n, profiles)
 

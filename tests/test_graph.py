@@ -89,7 +89,7 @@ def test_word_containment_paths_and_shapes(spark):
     got = p.select(paths.package_of(F.col("p")), paths.suffix(F.col("p")), paths.is_test_path(F.col("p")), paths.is_production_path(F.col("p")), paths.language_of(F.col("p"))).collect()
     assert [tuple(r) for r in got] == [("a/b", "py", False, True, "python"), ("<root>", "gz", False, True, None), ("<root>", "", False, True, None), ("tests", "rs", True, False, "rust"), ("a/vendor", "go", False, False, "go")]
     s = spark.createDataFrame([("(self, a, b=2, *rest)",), (None,), ("()",), ("(&mut x: T, y)",)], "p string")
-    assert [(r[0].total, r[0].required, list(r[1])) for r in s.select(text.parameter_shape(F.col("p")), text.parameter_list(F.col("p"))).collect()] == [(3, 1, ["a", "b", "rest"]), (0, 0, []), (0, 0, []), (2, 2, ["x", "y"])]
+    assert [(r[0].total, r[0].required, list(r[1])) for r in s.select(text.parameter_shape(F.col("p")), text.parameter_list(F.col("p"))).collect()] == [(3, 1, ["a", "b", "*rest"]), (0, 0, []), (0, 0, []), (2, 2, ["x", "y"])]
     h = spark.createDataFrame([("## Über uns: Teil 2!",), ("####### no",), ("#",)], "l string")
     assert [(r[0], r[1]) for r in h.select(text.heading_level(F.col("l")), text.slugify(F.regexp_replace("l", "^#+", ""))).collect()] == [(2, "über-uns-teil-2"), (None, "no"), (1, "")]
     b = spark.createDataFrame([("abc_1 日本語と x",)], "t string")
@@ -220,6 +220,18 @@ def test_unused_and_split(spark):
     assert [r.mentions for r in found.collect()] == [2]
     metrics = spark.createDataFrame([("f", "Function", 80, 20, 0), ("g", "Function", 80, 2, 0), ("K", "Class", 300, 0, 0)], "qualified_name string, kind string, n_lines long, n_branches long, n_comments long")
     assert sorted(r.qualified_name for r in refactoring.split_candidates(metrics, edges).collect()) == ["K", "f"]
+    concerns = spark.createDataFrame([("g", 700_000, "many_callee_scopes")], "qualified_name string, score_ppm long, reasons string")
+    assert {r.qualified_name: r.pressure_percent for r in refactoring.split_candidates(metrics, edges, concerns).collect()}["g"] == 107
+
+
+def test_concerns(spark):
+    nodes = nodes_of(spark, ["a.py::busy", "x/b.py::p", "y/c.py::q", "z/d.py::r"]).withColumn("community_id", F.col("id")).withColumn("line_start", F.lit(1).cast("long")).withColumn("line_end", F.lit(3).cast("long"))
+    edges = edges_of(spark, [("CALLS", "a.py::busy", t) for t in ("x/b.py::p", "y/c.py::q", "z/d.py::r", "<unresolved:w>", "os.environ")])
+    sources = spark.createDataFrame([("a.py", "def busy():\n    if open('x') and x:\n        requests.get(y)\n")], "file_path string, content string")
+    got = {r.qualified_name: r for r in refactoring.concern_profiles(nodes, edges, sources).collect()}["a.py::busy"]
+    assert (got.n_calls, got.n_communities, got.n_scopes, got.n_side_effects, got.role) == (5, 3, 4, 3, "boundary")
+    want = 0.45 * (2 / 3 * 0.35 + 2 / 5 * 0.25 + 1 / 12 * 0.2 + 5 / 22 * 0.2) + 0.25 * 3 / 4
+    assert abs(got.score_ppm - want * 1e6) <= 1 and got.reasons == "many_callee_communities,side_effect_pressure"
 
 
 def test_store(spark, tmp_path):
