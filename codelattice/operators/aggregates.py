@@ -89,7 +89,7 @@ def embedding_coverage(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
     total = live.agg(F.count(F.lit(1)).alias("n_nodes"))
     stored = vectors.filter("vector IS NOT NULL").select("provider", "qualified_name").distinct().join(live, F.col("qualified_name") == F.col("_live"), "left")
     told = stored.groupBy("provider").agg(F.count(F.lit(1)).alias("n_vectors"), F.count("_live").alias("n_embedded"))
-    return told.join(total, F.lit(True)).withColumn("n_orphans", F.col("n_vectors") - F.col("n_embedded"))
+    return told.withColumn("n_nodes", total.scalar()).withColumn("n_orphans", F.col("n_vectors") - F.col("n_embedded"))
 
 
 def answerability(nodes: DataFrame, edges: DataFrame) -> DataFrame:

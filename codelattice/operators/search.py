@@ -71,9 +71,10 @@ def bm25(posted: DataFrame, lengths: DataFrame, totals: DataFrame, words: list[s
     """``doc, score`` (millionths) of the k best documents; ties by document."""
     hits = posted.filter(F.col("term").isin(words))
     df = hits.groupBy(F.col("term").alias("_t")).agg(F.count(F.lit(1)).alias("df"))
-    told = hits.join(df, F.col("term") == F.col("_t")).join(lengths.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d")).join(totals, F.lit(True))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    length = 1 - B + B * F.col("dl") * F.col("n_docs") / F.col("sum_dl")
+    told = hits.join(df, F.col("term") == F.col("_t")).join(lengths.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d"))
+    told = told.withColumn("_all", totals.select(F.struct("n_docs", "sum_dl")).scalar())
+    idf = F.log(1 + (F.col("_all.n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    length = 1 - B + B * F.col("dl") * F.col("_all.n_docs") / F.col("_all.sum_dl")
     score = F.floor(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length) * UNIT + 0.5).cast("long")
     folded = told.groupBy("doc").agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("n_terms"))
     if require_all:

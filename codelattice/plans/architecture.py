@@ -76,7 +76,7 @@ def untested_core(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     files = uses.select("qualified_name", "file_path").distinct().groupBy("qualified_name").agg(F.count(F.lit(1)).alias("using_files"))
     p95 = ranking.indexed_percentile(files.withColumn("_all", F.lit(1)), ["_all"], "using_files", 95, "p95").select(F.greatest("p95", F.lit(5)).alias("threshold"))
     tested = edges.filter("kind = 'TESTED_BY'").select(F.col("source_qualified").alias("_t")).distinct()
-    return files.join(p95, F.col("using_files") >= F.col("threshold")).join(tested, F.col("qualified_name") == F.col("_t"), "left_anti").select("qualified_name", "using_files")
+    return files.filter(F.col("using_files") >= p95.scalar()).join(tested, F.col("qualified_name") == F.col("_t"), "left_anti").select("qualified_name", "using_files")
 
 
 def broken_doc_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -181,8 +181,8 @@ def temper_by_stability(suggested: DataFrame, nodes: DataFrame, profiles: DataFr
 
 def hotspots(splits: DataFrame, commits: DataFrame, nodes: DataFrame, least: int = 5, days: int = 90) -> DataFrame:
     """Split candidates whose file changed in at least ``least`` commits (file_path, commit_id, committed_at) of the last ``days`` days."""
-    newest = commits.agg(F.max("committed_at").alias("_now"))
-    recent = commits.join(newest, F.col("committed_at") >= F.col("_now") - F.make_interval(days=F.lit(days)))
+    newest = commits.agg(F.max("committed_at").alias("_now")).scalar()
+    recent = commits.filter(F.col("committed_at") >= newest - F.make_interval(days=F.lit(days)))
     busy = recent.groupBy(F.col("file_path").alias("_file")).agg(F.count_distinct("commit_id").alias("n_commits")).filter(F.col("n_commits") >= least)
     home = nodes.select(F.col("qualified_name").alias("_q"), F.col("file_path").alias("_home"))
     return splits.join(home, F.col("qualified_name") == F.col("_q")).join(busy, F.col("_home") == F.col("_file")).select(*splits.columns, "n_commits")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_ATTEMPTS = 3
@@ -22,10 +23,8 @@ def enqueue(tasks: DataFrame, new: DataFrame) -> DataFrame:
     held = tasks.join(pending, (F.col("kind") == F.col("_k")) & (F.col("id") == F.col("_first")), "left").join(asked, F.col("_k") == F.col("_kind"), "left")
     merged = held.select(*[F.greatest("priority", "_priority").alias(c) if c == "priority" else F.col(c) for c in tasks.columns])
     opened = asked.join(pending, F.col("_kind") == F.col("_k"), "left_anti")
-    last = tasks.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    from pyspark.sql import Window as W
-
-    fresh = opened.join(last, F.lit(True)).select((F.col("_last") + F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_kind"))).cast("long").alias("id"), F.col("_kind").alias("kind"), F.col("_priority").alias("priority"), F.lit("pending").alias("state"), F.lit(0).cast("long").alias("attempts"), F.col("_at").alias("created_at"))
+    last = tasks.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last")).scalar()
+    fresh = opened.select((last + F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_kind"))).cast("long").alias("id"), F.col("_kind").alias("kind"), F.col("_priority").alias("priority"), F.lit("pending").alias("state"), F.lit(0).cast("long").alias("attempts"), F.col("_at").alias("created_at"))
     return merged.unionByName(fresh, allowMissingColumns=True)
 
 

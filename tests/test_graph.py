@@ -264,3 +264,14 @@ def test_tools(diamond, spark):
         answer = api.call(g, name, **args)
         assert "error" not in answer and api.reply(answer)
     assert api.cross_repo_search({"one": g, "two": g}, "s")["rows"].count() >= 1
+
+
+def test_hotspots(spark):
+    from datetime import datetime, timedelta
+
+    nodes = nodes_of(spark, ["a.py::f", "b.py::g"])
+    splits = spark.createDataFrame([("a.py::f", 120), ("b.py::g", 150)], "qualified_name string, pressure_percent long")
+    now = datetime(2025, 6, 1)
+    made = [("a.py", f"c{i}", now - timedelta(days=i)) for i in range(6)] + [("b.py", f"d{i}", now - timedelta(days=200 + i)) for i in range(9)]
+    commits = spark.createDataFrame(made, "file_path string, commit_id string, committed_at timestamp")
+    assert rows(refactoring.hotspots(splits, commits, nodes)) == [("a.py::f", 120, 6)]
