@@ -159,11 +159,10 @@ def feedback_cut(weighted: list[tuple[str, str, int]]) -> list[tuple[str, str, i
 
 
 def component_cuts(links: DataFrame, components: DataFrame, largest: int = 5_000) -> DataFrame:
-    """Feedback arcs of every component of at most ``largest`` arcs, one component per call; larger ones are reported whole as ``size`` only."""
+    """Feedback arcs of every component: one component of at most ``largest`` arcs per call; larger ones are first reduced to that by joins."""
     a, b = components.select(F.col("node").alias("_a"), F.col("component").alias("ca")), components.select(F.col("node").alias("_b"), F.col("component").alias("cb"))
     inner = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b")).filter("ca = cb AND src <> dst")
-    sizes = inner.groupBy(F.col("ca").alias("_c")).agg(F.count(F.lit(1)).alias("arcs"))
-    small = inner.join(sizes.filter(F.col("arcs") <= largest), F.col("ca") == F.col("_c"), "left_semi").select(F.col("ca").alias("component"), "src", "dst", "weight")
+    inner = cut(inner.select(F.col("ca").alias("component"), "src", "dst", "weight"))
 
     def cut_one(pdf):
         import pandas as pd
@@ -171,7 +170,42 @@ def component_cuts(links: DataFrame, components: DataFrame, largest: int = 5_000
         arcs = feedback_cut(list(pdf[["src", "dst", "weight"]].itertuples(index=False, name=None)))
         return pd.DataFrame([(pdf["component"].iloc[0], *x) for x in arcs], columns=["component", "src", "dst", "weight"])
 
-    return small.groupBy("component").applyInPandas(cut_one, "component string, src string, dst string, weight long")
+    def apart(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sizes = arcs.groupBy(F.col("component").alias("_c")).agg(F.count(F.lit(1)).alias("arcs"))
+        big = sizes.filter(F.col("arcs") > largest)
+        return arcs.join(big, F.col("component") == F.col("_c"), "left_anti"), cut(arcs.join(big, F.col("component") == F.col("_c"), "left_semi"))
+
+    small, large = apart(inner)
+    found = None
+    while not large.isEmpty():
+        taken, left = cut_local_bests(large)
+        found = taken if found is None else cut(found.unionByName(taken))
+        rest, large = apart(left)
+        small = cut(small.unionByName(rest))
+    told = small.groupBy("component").applyInPandas(cut_one, "component string, src string, dst string, weight long")
+    return told if found is None else told.unionByName(found)
+
+
+def cut_local_bests(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round of the greedy order on all nodes at once: arcs to cut, and the arcs that can still lie on a cycle.
+
+    Nodes whose lighter side saves more than that of any neighbour (ties by
+    hash and name) lose the arcs of that side and so lie on no cycle; no two of
+    them are neighbours, and the best of all is always among them.
+    """
+    sides = arcs.select(F.col("src").alias("node"), F.col("weight").alias("out"), F.lit(0).cast("long").alias("into")).unionByName(arcs.select(F.col("dst").alias("node"), F.lit(0).cast("long").alias("out"), F.col("weight").alias("into")))
+    rated = cut(sides.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).select("node", (F.col("into") <= F.col("out")).alias("leads"), F.struct(F.abs(F.col("out") - F.col("into")).alias("gain"), F.xxhash64("node").alias("tie"), "node").alias("rank")))
+    a, b = rated.select(F.col("node").alias("_a"), F.col("rank").alias("ra")), rated.select(F.col("node").alias("_b"), F.col("rank").alias("rb"))
+    ranked = arcs.join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b"))
+    beaten = ranked.select(F.when(F.col("ra") < F.col("rb"), F.col("src")).otherwise(F.col("dst")).alias("_beaten")).distinct()
+    best = cut(rated.join(beaten, F.col("node") == F.col("_beaten"), "left_anti").select("node", "leads"))
+    heads, tails = best.filter("leads").select(F.col("node").alias("_head")), best.filter("NOT leads").select(F.col("node").alias("_tail"))
+    marked = arcs.join(heads, F.col("dst") == F.col("_head"), "left").join(tails, F.col("src") == F.col("_tail"), "left")
+    marked = cut(marked.select(*arcs.columns, (F.col("_head").isNotNull() | F.col("_tail").isNotNull()).alias("gone")))
+    kept = marked.filter("NOT gone").drop("gone")
+    cyclic = trim_acyclic(kept).select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
+    left = kept.join(cyclic, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")), "left_semi")
+    return marked.filter("gone").drop("gone"), cut(left)
 
 
 def tie_weights(edges: DataFrame) -> DataFrame:
