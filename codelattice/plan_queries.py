@@ -116,7 +116,7 @@ SELECT e.id, r.q AS target_qualified FROM e JOIN (SELECT * FROM r1 UNION ALL SEL
 def reexported_targets(spark, d):
     n, e = both(spark, d)
     was = e.select(F.col("id").alias("_id"), F.col("target_qualified").alias("_was"))
-    return passes.follow_reexports(n, e, 2).join(was, F.col("id") == F.col("_id")).filter("target_qualified <> _was").select("id", "target_qualified")
+    return passes.follow_reexports(n, e).join(was, F.col("id") == F.col("_id")).filter("target_qualified <> _was").select("id", "target_qualified")
 
 
 @query(f"""{WITH_REC}, v AS (SELECT DISTINCT e.file_path f, n.file_path v FROM e JOIN n ON e.target_qualified = n.qualified_name WHERE e.kind = 'IMPORTS_FROM' AND e.file_path <> n.file_path),

@@ -1,7 +1,9 @@
 """Small cases that a bound on size, depth, rounds or names would lose."""
 
+from codelattice import plan_queries
 from codelattice.operators import components
 from conftest import rows
+from test_graph import edges_of, nodes_of
 
 
 def acyclic(arcs):
@@ -23,3 +25,10 @@ def test_cuts_of_components_above_the_size_of_one_call(spark):
     gone = {(r.src, r.dst) for r in found}
     assert len(gone) == len(found) and gone < set(pairs) and acyclic(set(pairs) - gone)
     assert sum(r.component == "r00" for r in found) <= len(set(ring)) / 2
+
+
+def test_reexports_over_more_than_two_files(spark, tables):
+    files = [f"f{i}.py" for i in range(10)]
+    nodes = nodes_of(spark, [(f, "File") for f in files] + ["f5.py::deep", "f9.py::beyond"])
+    edges = edges_of(spark, [("IMPORTS_FROM", a, b) for a, b in zip(files, files[1:])] + [("CALLS", "x.py::f", "f0.py::deep"), ("CALLS", "x.py::f", "f0.py::beyond")])
+    assert rows(plan_queries.reexported_targets(spark, tables(nodes=nodes, edges=edges))) == [(9, "f5.py::deep")]
