@@ -397,7 +397,7 @@ w AS (SELECT '{SEED_CALLEE}' k, 0 dep UNION SELECT r.dst, dep + 1 FROM w JOIN r
 SELECT w.k AS entry, en.entry_kind, min(dep)::BIGINT AS hops FROM w JOIN en ON w.k = en.qualified_name WHERE en.entry_kind IS NOT NULL GROUP BY ALL""")
 def entries_reaching(spark, d):
     n, e = both(spark, d)
-    return traversal.entries_reaching(n, e, keys(spark, SEED_CALLEE), 6).select("entry", "entry_kind", "hops")
+    return traversal.entries_reaching(n, e, keys(spark, SEED_CALLEE)).select("entry", "entry_kind", "hops")
 
 
 @query(f"""{WITH_REC}, l AS (SELECT DISTINCT n.file_path src, e.file_path dst FROM e JOIN n ON e.target_qualified = n.qualified_name WHERE e.kind IN ('CALLS','IMPORTS_FROM','INHERITS','IMPLEMENTS') AND n.file_path <> e.file_path),

@@ -7,6 +7,8 @@ grow with depth. Hot nodes are folded before the exchange.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from ..functions import paths
 from ..session import cut
 from .lookup import is_low_confidence_bridge, is_reportable_bridge
 
+ROUNDS_PER_CUT = 16  # rounds after which what was seen is put together
+
 # fixed values: names by which entry points go
 ENTRY_NAME_PATTERNS = [
     r"^main$", r"^__main__$", r"^test_", r"^Test[A-Z]", r"^on_", r"^handle_", r"^handler$", r"^handle$", r"^lambda_handler$", r"^upgrade$", r"^downgrade$", r"^lifespan$", r"^get_db$",
@@ -40,8 +44,8 @@ DEFAULT_TEST_DEPTH = 4
 NEW_ROW_CAP = 500
 
 
-def walk(seeds: DataFrame, links: DataFrame, max_depth: int, stop: DataFrame | None = None) -> DataFrame:
-    """``key, depth, via`` of everything within ``max_depth`` of the seeds (a column ``key``), seeds at depth 0.
+def walk(seeds: DataFrame, links: DataFrame, max_depth: int | None, stop: DataFrame | None = None) -> DataFrame:
+    """``key, depth, via`` of everything within ``max_depth`` of the seeds (a column ``key``), seeds at depth 0; without ``max_depth``, of everything they reach.
 
     ``links`` has ``src`` and ``dst``; ``via`` is the smallest predecessor on a
     shortest way. Nodes of ``stop`` (a column ``key``) are reached but not left.
@@ -49,7 +53,8 @@ def walk(seeds: DataFrame, links: DataFrame, max_depth: int, stop: DataFrame | N
     step = links.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     seen = cut(seeds.select("key").distinct().select("key", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("via")))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    stop = cut(stop.select("key").distinct()) if stop is not None else None  # asked for in every round
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         start = frontier.join(stop.select(F.col("key").alias("_stop")), F.col("key") == F.col("_stop"), "left_anti") if stop is not None else frontier
         reached = start.select(F.col("key").alias("_from")).join(step, F.col("_from") == F.col("src")).groupBy(F.col("dst").alias("key")).agg(F.min("_from").alias("via"))
         known = seen.select(F.col("key").alias("_seen"))
@@ -57,6 +62,8 @@ def walk(seeds: DataFrame, links: DataFrame, max_depth: int, stop: DataFrame | N
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % ROUNDS_PER_CUT == 0:
+            seen = cut(seen)
     step.unpersist()  # what is given back rests on checkpoints alone
     return seen
 
@@ -144,11 +151,11 @@ def entry_points(nodes: DataFrame, edges: DataFrame, include_tests: bool = False
     return asked.withColumn("entry_kind", kind).filter("entry_kind IS NOT NULL").drop("_called")
 
 
-def entries_reaching(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Nearest entry points above the symbols with hops and the next step towards the symbol; tests are not walked through."""
+def entries_reaching(nodes: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Nearest entry points above the symbols, however far, with hops and the next step towards the symbol; tests are not walked through."""
     tests = nodes.filter("kind = 'Test' OR is_test").select(F.col("qualified_name").alias("key"))
-    entries = entry_points(nodes, edges).select(F.col("qualified_name").alias("_entry"), "entry_kind")
-    reached = walk(symbols, callers(edges), max_depth, stop=entries.select(F.col("_entry").alias("key")).unionByName(tests))
+    entries = cut(entry_points(nodes, edges).select(F.col("qualified_name").alias("_entry"), "entry_kind"))
+    reached = walk(symbols, callers(edges), None, stop=entries.select(F.col("_entry").alias("key")).unionByName(tests))
     return reached.join(entries, F.col("key") == F.col("_entry")).select(F.col("key").alias("entry"), "entry_kind", F.col("depth").alias("hops"), F.col("via").alias("next"))
 
 

@@ -1,6 +1,6 @@
 """Small cases that a bound on size, depth, rounds or names would lose."""
 
-from codelattice import plan_queries
+from codelattice import graph_queries, plan_queries
 from codelattice.operators import components
 from conftest import rows
 from test_graph import edges_of, nodes_of
@@ -32,3 +32,15 @@ def test_reexports_over_more_than_two_files(spark, tables):
     nodes = nodes_of(spark, [(f, "File") for f in files] + ["f5.py::deep", "f9.py::beyond"])
     edges = edges_of(spark, [("IMPORTS_FROM", a, b) for a, b in zip(files, files[1:])] + [("CALLS", "x.py::f", "f0.py::deep"), ("CALLS", "x.py::f", "f0.py::beyond")])
     assert rows(plan_queries.reexported_targets(spark, tables(nodes=nodes, edges=edges))) == [(9, "f5.py::deep")]
+
+
+def test_entries_at_the_end_of_long_chains(spark, tables):
+    seed = graph_queries.SEED_CALLEE
+    chain = [seed] + [f"m.py::f{i:02d}" for i in range(1, 24)]
+    nodes = nodes_of(spark, [*chain, "t.py::above", ("t.py::test_it", "Test")])
+    edges = edges_of(spark, [("CALLS", b, a) for a, b in zip(chain, chain[1:])] + [("CALLS", "m.py::f05", "m.py::f20"), ("CALLS", "t.py::test_it", "m.py::f02"), ("CALLS", "t.py::above", "t.py::test_it")])
+    assert rows(graph_queries.entries_reaching(spark, tables(nodes=nodes, edges=edges))) == [("m.py::f23", "uncalled", 23)]
+    from codelattice import api
+
+    g = api.Graph(spark, nodes, edges)
+    assert [r.hops for r in api.call(g, "flow_tool", target=seed)["entries"].collect()] == [23]
