@@ -40,13 +40,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_search(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar rows of every embedding whose id is divisible by 20, by walking the graph of all rows."""
     rows = load(spark, d, "embeddings").select(F.lit("all").alias("grp"), F.col("vec_id").cast("string").alias("name"), F.col("embedding").alias("vec"))
-    halves, fixed, _ = neighbours.places(neighbours.usable(rows, "grp", "name", "vec"))
+    halves, fixed, copies = neighbours.places(neighbours.usable(rows, "grp", "name", "vec"))
     graph = neighbours.neighbour_graph(halves)
-    named = fixed.select(F.col("id").alias("_id"), F.col("names")[0].cast("long").alias("vec_id"))
-    asked = halves.join(named.filter(F.col("vec_id") % 20 == 0), F.col("id") == F.col("_id")).select("grp", F.col("vec_id").alias("query"), "half")
-    hits = neighbours.greedy_search(halves, graph, asked, k=neighbours.NEIGHBOURS + 1)
-    told = hits.join(named, F.col("id") == F.col("_id")).filter(F.col("vec_id") != F.col("query"))
-    return told.select(F.col("query").alias("query_id"), "vec_id", F.col("sim").cast("double").alias("similarity"))
+    named = cut(fixed.select(F.col("id").alias("_id"), "names"))
+    every = named.filter(F.size("names") == 1).select(F.col("_id").alias("place"), F.col("names")[0].alias("name")).unionByName(copies.select(F.col("id").alias("place"), "name"))
+    asked = cut(every.select("place", F.col("name").cast("long").alias("query_id")).filter("query_id % 20 = 0"))
+    # equal vectors are searched once; a place offers its first names, its own come first
+    starts = halves.join(asked.select(F.col("place").alias("query")).distinct(), F.col("id") == F.col("query")).select("grp", "query", "half")
+    hits = neighbours.greedy_search(halves, graph, starts, k=neighbours.NEIGHBOURS + 1).filter("id <> query").select("query", "id", F.col("sim").cast("double").alias("sim"))
+    hits = hits.unionByName(starts.select("query", F.col("query").alias("id"), F.lit(1.0).alias("sim")))
+    told = hits.join(named, F.col("id") == F.col("_id")).select("query", "id", "sim", F.posexplode("names").alias("at", "name"))
+    row = F.struct((F.col("id") != F.col("query")).alias("other"), (-F.col("sim")).alias("far"), "id", "at", F.col("name").cast("long").alias("vec_id"), "sim")
+    lists = told.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(row)), 1, neighbours.NEIGHBOURS + 1).alias("rows"))
+    unfolded = asked.join(lists, F.col("place") == F.col("query")).select("query_id", F.slice(F.filter("rows", lambda r: r["vec_id"] != F.col("query_id")), 1, neighbours.NEIGHBOURS).alias("rows"))
+    return unfolded.select("query_id", F.explode("rows").alias("r")).select("query_id", "r.vec_id", F.col("r.sim").alias("similarity"))
 
 
 # --- 7: filling fixed-capacity containers ------------------------------------------------------
