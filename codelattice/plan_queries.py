@@ -8,7 +8,7 @@ from .functions import paths, text
 from .graph_queries import REPORTABLE_SQL, SEED_CALLEE, TEST_PATH_SQL, WITH, WITH_REC, both, file_links, keys
 from .operators import components, traversal
 from .plans import architecture, changes, passes, refactoring
-from .schema import TIER_SQL
+from .schema import TIER_SQL, latest
 from .session import load
 
 QUERIES: dict = {}
@@ -211,17 +211,15 @@ def architecture_findings(spark, d):
 
 
 _CHANGED = "ch AS (SELECT unnest(['corelib/runtime/trace.py', 'corelib/runtime/retry.py', 'corelib/base/types.py']) f)"
+BASE_TIME = 1745000000  # as in change_tally
 CHANGED = ["corelib/runtime/trace.py", "corelib/runtime/retry.py", "corelib/base/types.py"]
 
 
 def versions(spark, d):
-    """Symbols of the superseded rows and of the current rows of the same names."""
-    rows = load(spark, d, "nodes").filter("kind <> 'File'")
-    n = both(spark, d)[0].filter("kind <> 'File'")
-    shape = lambda df: df.select("qualified_name", "kind", "name", "params", F.col("file_hash").alias("body_hash"))
-    oldest = rows.groupBy("qualified_name").agg(F.min_by(F.struct("kind", "name", "params", "file_hash"), F.struct("updated_at", F.coalesce("file_hash", F.lit("")))).alias("r"))
-    base = oldest.select("qualified_name", "r.kind", "r.name", "r.params", F.col("r.file_hash").alias("body_hash")).filter("name NOT LIKE 'a%'")
-    return base, shape(n).filter("name NOT LIKE 'b%'")
+    """Symbols as of ``BASE_TIME`` and of the current rows."""
+    shape = lambda df: df.filter("kind <> 'File'").select("qualified_name", "kind", "name", "params", F.col("file_hash").alias("body_hash"))
+    before = load(spark, d, "nodes").filter(F.col("updated_at") < BASE_TIME)
+    return shape(latest(before, ["qualified_name"], ["updated_at", "file_hash", "mtime_ns"])), shape(both(spark, d)[0])
 
 
 _VERSIONS = """b0 AS (SELECT qualified_name, kind, name, params, file_hash FROM (SELECT *, row_number() OVER (PARTITION BY qualified_name ORDER BY updated_at, coalesce(file_hash, '')) rk FROM nodes WHERE kind <> 'File') WHERE rk = 1 AND name NOT LIKE 'a%'),

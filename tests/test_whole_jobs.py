@@ -2,7 +2,9 @@
 
 from codelattice import graph_queries, plan_queries
 from codelattice.operators import components
+from codelattice.plans import changes
 from conftest import rows
+from pyspark.sql import functions as F
 from test_graph import edges_of, nodes_of
 
 
@@ -44,3 +46,16 @@ def test_entries_at_the_end_of_long_chains(spark, tables):
 
     g = api.Graph(spark, nodes, edges)
     assert [r.hops for r in api.call(g, "flow_tool", target=seed)["entries"].collect()] == [23]
+
+
+def test_versions_are_whole_states(spark, tables):
+    nodes = nodes_of(spark, ["m.py::alpha", "m.py::beta", "m.py::alter", "m.py::bound"])
+    later = nodes.filter("name IN ('alter', 'beta')").withColumn("updated_at", F.lit(1.75e9))
+    later = later.withColumn("file_hash", F.lit("new"))
+    d = tables(nodes=nodes.filter("name <> 'alter'").unionByName(later), edges=edges_of(spark, [("CALLS", "x.py::f", "m.py::beta"), ("CALLS", "x.py::f", "m.py::bound")]))
+    assert rows(plan_queries.symbol_delta(spark, d)) == [("m.py::alpha", "same"), ("m.py::alter", "added"), ("m.py::beta", "edited"), ("m.py::bound", "same")]
+    assert rows(plan_queries.dangling_references(spark, d)) == []
+    base, now = plan_queries.versions(spark, d)
+    delta = changes.symbol_delta(base, now.filter("name <> 'bound'"))
+    outside = spark.createDataFrame([("none.py",)], "key string")
+    assert rows(changes.dangling_references(delta, spark.read.parquet(f"{d}/edges.parquet"), outside).select("target")) == [("m.py::bound",)]
