@@ -78,7 +78,8 @@ def architecture_analysis(g: Graph, mode: str = "overview", depth: int = 2, max_
         return {"stability": architecture.stability(dependencies), "distances": architecture.distances(g.nodes, dependencies, depth), "violations": architecture.stability_violations(dependencies)}
     if mode == "import_cycles":
         links = dependencies.select(F.col("source").alias("src"), F.col("target").alias("dst"))
-        return {"components": components.strongly_connected(links), "cycles": components.short_cycles(links, max_length)}
+        found = components.strongly_connected(links)
+        return {"components": found, "cycles": components.short_cycles(links, max_length), "simple_cycles": components.simple_cycles(links, found)}
     return {"error": "mode must be overview or import_cycles"}
 
 

@@ -462,6 +462,13 @@ def short_import_cycles(spark, d):
     return components.short_cycles(file_links(spark, d), 3)
 
 
+@query()
+def import_cycles(spark, d):
+    """Simple import cycles of any length: all of a component, or the first 200 within 500,000 steps, marked as truncated."""
+    links = file_links(spark, d)
+    return components.simple_cycles(links, components.strongly_connected(links))
+
+
 @query()
 def import_cycle_cuts(spark, d):
     """Feedback arcs of every import component."""

@@ -127,6 +127,32 @@ def bounded_simple_cycles(names: list[str], edges: list[tuple[int, int]], min_si
     return cycles, False
 
 
+def arcs_within(links: DataFrame, components: DataFrame) -> DataFrame:
+    """``component, src, dst`` of the distinct links between nodes of one component."""
+    a, b = components.select(F.col("node").alias("_a"), F.col("component").alias("ca")), components.select(F.col("node").alias("_b"), F.col("component").alias("cb"))
+    inner = links.filter("src <> dst").select("src", "dst").distinct().join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b")).filter("ca = cb")
+    return inner.select(F.col("ca").alias("component"), "src", "dst")
+
+
+def simple_cycles(links: DataFrame, components: DataFrame, max_cycles: int = 200, max_steps: int = 500_000) -> DataFrame:
+    """Simple cycles of any length, one component per call, as ``component, length, path, truncated``.
+
+    Where a bound ended the search of a component, ``truncated`` is set on all its rows; if nothing was found by then, one row without path says so.
+    """
+
+    def search(pdf):
+        import pandas as pd
+
+        names = sorted({*pdf["src"], *pdf["dst"]})
+        at = {x: i for i, x in enumerate(names)}
+        cycles, truncated = bounded_simple_cycles(names, [(at[a], at[b]) for a, b in zip(pdf["src"], pdf["dst"])], max_length=len(names), max_cycles=max_cycles, max_steps=max_steps)
+        told = [(len(x), " > ".join(x)) for x in cycles] or [(None, None)]
+        out = pd.DataFrame([(pdf["component"].iloc[0], *x, truncated) for x in told], columns=["component", "length", "path", "truncated"])
+        return out.astype({"length": "Int64"})
+
+    return arcs_within(links, components).groupBy("component").applyInPandas(search, "component string, length long, path string, truncated boolean")
+
+
 def feedback_cut(weighted: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
     """Arcs whose removal breaks all cycles of one component: those that point backwards in a greedy order of sources and sinks."""
     out: dict[str, dict[str, int]] = {}

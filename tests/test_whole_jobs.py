@@ -59,3 +59,16 @@ def test_versions_are_whole_states(spark, tables):
     delta = changes.symbol_delta(base, now.filter("name <> 'bound'"))
     outside = spark.createDataFrame([("none.py",)], "key string")
     assert rows(changes.dangling_references(delta, spark.read.parquet(f"{d}/edges.parquet"), outside).select("target")) == [("m.py::bound",)]
+
+
+def test_cycles_of_four_and_more(spark):
+    ring = [(f"n{i}", f"n{(i + 1) % 12:d}") for i in range(12)]
+    links = spark.createDataFrame(ring + [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("c", "a"), ("d", "z")], "src string, dst string")
+    found = components.simple_cycles(links, components.strongly_connected(links))
+    assert rows(found.filter("component = 'a'").select("length", "path", "truncated")) == [(3, "a > b > c", False), (4, "a > b > c > d", False)]
+    assert rows(found.filter("component = 'n0'").select("length", "truncated")) == [(12, False)]
+    full = spark.createDataFrame([(f"k{i}", f"k{j}") for i in range(5) for j in range(5) if i != j], "src string, dst string")
+    parts = components.strongly_connected(full)
+    assert components.simple_cycles(full, parts).filter("NOT truncated").count() == 84
+    assert rows(components.simple_cycles(full, parts, max_steps=1)) == [("k0", None, None, True)]
+    assert "import_cycles" in graph_queries.QUERIES
