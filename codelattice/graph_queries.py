@@ -13,6 +13,7 @@ from .session import load
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+FENCED = r"(?ms)^ {0,3}(`{3,}|~{3,}).*?(^ {0,3}\1[`~]*[ \t]*$|\z)"
 SEED_FILE = "corelib/base/types.py"
 SEED_SYMBOL = "corelib/runtime/trace.py::emit"
 SEED_CALLEE = "corelib/runtime/retry.py::with_retry"
@@ -160,8 +161,10 @@ def normalized_confidence(spark, d):
 @query(r"""SELECT doc_id, length(regexp_extract(h, '^(#{1,6})(\s|$)', 1)) AS level, regexp_replace(regexp_replace(lower(trim(substr(h, length(regexp_extract(h, '^(#{1,6})(\s|$)', 1)) + 1))), '[^\p{L}\p{N}\s_-]', '', 'g'), '\s', '-', 'g') AS slug
 FROM (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10))[1] h FROM documents) WHERE regexp_matches(h, '^(#{1,6})(\s|$)')""")
 def heading_slugs(spark, d):
-    first = F.element_at(F.split(F.translate("text", "\r", ""), "\n"), 1)
-    h = load(spark, d, "documents").select("doc_id", first.alias("h")).withColumn("level", text.heading_level(F.col("h"))).filter("level IS NOT NULL")
+    # lines of fenced code are no headings
+    prose = F.regexp_replace(F.translate("text", "\r", ""), FENCED, "")
+    lines = load(spark, d, "documents").select("doc_id", F.explode(F.split(prose, "\n")).alias("h"))
+    h = lines.withColumn("level", text.heading_level(F.col("h"))).filter("level IS NOT NULL")
     return h.select("doc_id", "level", text.slugify(F.expr("substr(h, level + 1)")).alias("slug"))
 
 

@@ -72,3 +72,9 @@ def test_cycles_of_four_and_more(spark):
     assert components.simple_cycles(full, parts).filter("NOT truncated").count() == 84
     assert rows(components.simple_cycles(full, parts, max_steps=1)) == [("k0", None, None, True)]
     assert "import_cycles" in graph_queries.QUERIES
+
+
+def test_slugs_of_headings_below_the_first_line(spark, tables):
+    text = "intro\r\n# Top One\n```\n# a comment\n```\nmore\n### Deep: Two\n~~~ py\n# open to the end"
+    d = tables(documents=spark.createDataFrame([(1, text), (2, "# First\nplain"), (3, None)], "doc_id long, text string"))
+    assert rows(graph_queries.heading_slugs(spark, d)) == [(1, 1, "top-one"), (1, 3, "deep-two"), (2, 1, "first")]
