@@ -16,11 +16,11 @@ DEFAULT_TIE = 50
 STEPS_PER_CUT = 2  # joins between two checkpoints of a loop
 
 
-def trim_acyclic(links: DataFrame, rounds: int = 200) -> DataFrame:
+def trim_acyclic(links: DataFrame) -> DataFrame:
     """Links that can lie on a cycle: links out of nodes without a predecessor or into nodes without a successor are peeled off."""
     current = cut(links.select("src", "dst").filter("src <> dst").distinct())
     count = current.count()
-    for _ in range(rounds):
+    while True:
         for _ in range(STEPS_PER_CUT):
             heads = current.select(F.col("dst").alias("_d")).distinct()
             tails = current.select(F.col("src").alias("_s")).distinct()
@@ -33,7 +33,7 @@ def trim_acyclic(links: DataFrame, rounds: int = 200) -> DataFrame:
     return current
 
 
-def strongly_connected(links: DataFrame, rounds: int = 200) -> DataFrame:
+def strongly_connected(links: DataFrame) -> DataFrame:
     """``node, component`` for every node on a cycle; the component is its smallest node.
 
     Colouring: the smallest label is pushed forwards to a fixpoint; within one
@@ -44,7 +44,7 @@ def strongly_connected(links: DataFrame, rounds: int = 200) -> DataFrame:
     found = None
     while not rest.isEmpty():
         colour = cut(rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct().withColumn("label", F.col("node")))
-        for _ in range(rounds):
+        while True:
             before = colour.select(F.col("node").alias("_was"), F.col("label").alias("_label"))
             for _ in range(STEPS_PER_CUT):
                 pushed = rest.join(colour, F.col("src") == F.col("node")).select(F.col("dst").alias("_n"), F.col("label").alias("_l")).groupBy("_n").agg(F.min("_l").alias("_l"))
@@ -57,7 +57,7 @@ def strongly_connected(links: DataFrame, rounds: int = 200) -> DataFrame:
         inner = cut(rest.join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b")).filter("la = lb").select("src", "dst", F.col("la").alias("label")))
         back = colour.filter("node = label").select("node", F.col("label").alias("component"))
         frontier = back
-        for _ in range(rounds):
+        while True:
             step = frontier.select(F.col("node").alias("_to"), "component").join(inner, (F.col("_to") == F.col("dst")) & (F.col("component") == F.col("label"))).select(F.col("src").alias("node"), "component").distinct()
             frontier = cut(step.join(back.select(F.col("node").alias("_seen")), F.col("node") == F.col("_seen"), "left_anti"))
             if frontier.isEmpty():

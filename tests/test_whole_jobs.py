@@ -78,3 +78,11 @@ def test_slugs_of_headings_below_the_first_line(spark, tables):
     text = "intro\r\n# Top One\n```\n# a comment\n```\nmore\n### Deep: Two\n~~~ py\n# open to the end"
     d = tables(documents=spark.createDataFrame([(1, text), (2, "# First\nplain"), (3, None)], "doc_id long, text string"))
     assert rows(graph_queries.heading_slugs(spark, d)) == [(1, 1, "top-one"), (1, 3, "deep-two"), (2, 1, "first")]
+
+
+def test_components_with_long_ways_back(spark, monkeypatch):
+    monkeypatch.setattr(components, "cut", lambda df: spark.createDataFrame(df.toArrow(), df.schema))  # many short rounds, no files
+    names = [f"n{i:03d}" for i in range(205)]
+    links = spark.createDataFrame([*zip(names, [*names[1:], names[0]]), *((names[0], x) for x in names[2:])], "src string, dst string")
+    found = components.strongly_connected(links)
+    assert found.count() == 205 and rows(found.select("component").distinct()) == [("n000",)]
