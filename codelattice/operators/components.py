@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, cut_union
 
 # fixed values: how strongly an edge kind ties its ends into one community
 TIE_WEIGHTS = {"CALLS": 100, "INHERITS": 80, "IMPLEMENTS": 70, "DEPENDS_ON": 60, "CROSS_ARTIFACT": 60, "IMPORTS_FROM": 50, "TESTED_BY": 40, "CONTAINS": 30}
@@ -62,7 +62,7 @@ def strongly_connected(links: DataFrame) -> DataFrame:
             frontier = cut(step.join(back.select(F.col("node").alias("_seen")), F.col("node") == F.col("_seen"), "left_anti"))
             if frontier.isEmpty():
                 break
-            back = cut(back.unionByName(frontier))
+            back = cut_union(back.unionByName(frontier))
         sizes = back.groupBy("component").count().filter("count > 1").select(F.col("component").alias("_c"))
         part = cut(back.join(sizes, F.col("component") == F.col("_c"), "left_semi"))
         found = part if found is None else found.unionByName(part)
@@ -205,9 +205,9 @@ def component_cuts(links: DataFrame, components: DataFrame, largest: int = 5_000
     found = None
     while not large.isEmpty():
         taken, left = cut_local_bests(large)
-        found = taken if found is None else cut(found.unionByName(taken))
+        found = taken if found is None else cut_union(found.unionByName(taken))
         rest, large = apart(left)
-        small = cut(small.unionByName(rest))
+        small = cut_union(small.unionByName(rest))
     told = small.groupBy("component").applyInPandas(cut_one, "component string, src string, dst string, weight long")
     return told if found is None else told.unionByName(found)
 

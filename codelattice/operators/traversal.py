@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..session import cut
+from ..session import cut, cut_union
 from .lookup import is_low_confidence_bridge, is_reportable_bridge
 
 ROUNDS_PER_CUT = 16  # rounds after which what was seen is put together
@@ -63,7 +63,7 @@ def walk(seeds: DataFrame, links: DataFrame, max_depth: int | None, stop: DataFr
             break
         seen = seen.unionByName(frontier)
         if depth % ROUNDS_PER_CUT == 0:
-            seen = cut(seen)
+            seen = cut_union(seen)
     step.unpersist()  # what is given back rests on checkpoints alone
     return seen
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..schema import latest, tier
-from ..session import cut
+from ..session import cut, cut_union
 
 # fixed values
 DIRECT, INFERRED, UNRESOLVED = 0.9, 0.6, 0.2
@@ -43,7 +43,7 @@ def visible_files(edges: DataFrame, nodes: DataFrame, reexport_rounds: int = 0)
         frontier = cut(further.join(known, (F.col("file") == F.col("_x")) & (F.col("visible") == F.col("_y")), "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = cut_union(seen.unionByName(frontier))
     return seen
 
 

@@ -13,23 +13,37 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; set one only where it is unset, as in tests."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, set as the context's if it has none.
+
+    A folder of this machine serves only where the setting is unset and all
+    tasks run on this machine, as in tests; a cluster must name a shared one.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codelattice-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="codelattice-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files.
+    """Write ``df`` to the shared checkpoint folder and go on from the files, as many as ``df`` has partitions."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def cut_union(df: DataFrame) -> DataFrame:
+    """:func:`cut` for a union of frames that were cut before.
 
-    Unions and broadcast joins add up partitions; the files are at most
-    ``spark.sql.shuffle.partitions``, so loops do not multiply them.
+    A loop that unions what it found would add up partitions without end; they
+    are merged to ``spark.sql.shuffle.partitions``. The inputs are files of
+    small rows, so nothing expensive before them loses its parallelism.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))).checkpoint(eager=True)
+    return cut(df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def bucket_count(rows: int, rows_per_bucket: int, least: int = 8) -> int:
