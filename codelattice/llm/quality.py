@@ -5,7 +5,10 @@ diagonal covariances is fitted to the standardised statistics by
 expectation-maximisation; every pass folds all documents to sums per component
 (their size depends on the number of components alone), so nothing is sampled.
 Components start at inspected example texts and are mapped to prose, list,
-table or junk by the examples they explain best.
+table or junk by the examples they explain best. The mixture alone decides the
+kind: no statistic is held to a rule, so a text whose words would pass for
+sentences but whose other statistics are those of code or of broken bytes is
+not prose.
 
 Defined results: a null or empty text has zero statistics and is junk; blanks
 are what Unicode calls white space; copies are documents of their own; an
@@ -26,7 +29,7 @@ from ..session import cut
 
 COMMON_WORDS = {
     "en": """the a an of to in is are that this these those it and or for with as by on at from be was were if but not no when while which what who its
-        their our your we you they he she has have had can could will would should may must before after because so than then there here all each every
+        their our your we you they he she have has had can could will would should may must before after because so than then there here all each every
         more most many several few some any another only own two one until unless even once during since into over about between both such same other through nor""",
     "de": """der die das den dem des ein eine einen einem einer eines und oder ist sind war nicht mit von zu zum zur im in auf für als wenn damit dass
         bevor obwohl weil alle allen jeder jede jedes wird werden hat haben es er sie wir ich aus nach bei über durch nur noch auch kein keine sich""",
@@ -34,49 +37,71 @@ COMMON_WORDS = {
         leurs quand si même avant après chaque toutes tous tout toute il elle nous vous on plus rien deux en y se qu""",
     "es": """el la los las un una unos unas de del y o es son fue no que en por para con sin se su sus al lo cuando si antes después aunque cada todo
         toda todos todas le les como más nada dos una este esta estos estas ya pero muy""",
+    "it": """il lo la i gli le un uno una di del della dei delle e o è sono era non che in per con senza si su al alla come più quando se ma anche questo questa""",
+    "pt": """o a os as um uma de do da dos das e ou é são foi não que em no na por para com sem se seu sua ao à como mais quando mas também este esta""",
+    "nl": """de het een van en of is zijn was niet met voor op in te dat die dit deze als maar ook bij naar uit om aan er wordt worden heeft hebben""",
+    "pl": """i w na z do że nie się jest są był była to ten ta te tego tej o po od za przez dla jak ale lub oraz gdy który która które aby przed już tylko być ich jego""",
+    "ru": """и в на с что не это как по из за от для до при но или он она они мы вы его её их к о у же бы так если когда был была было были есть все всё который которая которые чтобы""",
+    "sv": """och i att det som en ett på är av för med den till inte om har de var från när kan ska men eller efter""",
 }
-# the statements the mixture starts from: (kind, text)
+# characters a text of Chinese sentences needs, as kana in Japanese
+HAN_PARTICLES = "的了是在和有不这我他们为到以会被就而与也并将中个上下"
+# ends of Korean words that show their part in a sentence
+HANGUL_ENDINGS = "은는이가을를에의로고다요며서도"
+# inspected statements the mixture starts from: (kind, text)
 EXAMPLES = [
-    ("prose", "The parser reads every file of the repository once, and it keeps what it found in a table. When a file is renamed, the old rows are removed before the new ones are written."),
-    ("prose", "this note was written in a hurry and it has no marks at all but it still says what the reader has to know about the cache and why it was changed"),
-    ("prose", "Der Bericht nennt alle Dateien, die sich seit dem letzten Lauf geändert haben.\n\nEr wird jede Nacht neu erstellt, damit nichts fehlt."),
-    ("prose", "この文書は索引の作り方を説明します。変更されたファイルだけを読み込みます。\n\n結果は表に保存されます。"),
-    ("prose", "> We found that the second query\n> waits for the first one, and that is\n> what the user sees when the page\n> is opened for the first time."),
-    ("list", "- open file\n- read header\n- check size\n- write index\n- close file\n- send report"),
-    ("list", "1. alpha_reader\n2. beta/writer.py\n3. gammaStore\n4. delta_index\n5. omega/run.py"),
-    ("list", "- Fix cache size (#12).\n- Add index field (#907).\n* Drop reader flag (#33).\n- Bump parser version (#4011)."),
-    ("list", "The report names all files that have changed since the last run.\n\n- open_file\n- read/header.py\n- checkSize\n- write_index\n- close_file\n- send_report\n- store/rows.py\n- flush_cache"),
-    ("list", "- Fix cache size (#12).\n- Add index field (#907).\n* Drop reader flag (#33).\n- Bump parser version (#4011).\n- Fix row count (#90).\n\nThe rows are kept until the next run."),
-    ("table", "The sizes are those of the last run.\n\nnodes: 120\nedges: yes\nfiles: none\nrows: 7723\nowner: cache\ngraph: 99\nindex: none\nstate: yes\nquery: 4"),
-    ("table", "| name | size | rows |\n| --- | --- | --- |\n| nodes | 120 | 0.55 |\n| edges | 9912 | 0.31 |\n| files | 77 | - |"),
-    ("table", "0.613;0.996;graph;63805;-;0.2\n0.112;-;edge;5126;0.9;0.1\n-;0.5;node;777;0.3;-"),
-    ("table", "name: yes\nsize: 7689\nprofile: none\nledger: 3690\nquery: none\nrows: 7723"),
-    ("junk", "n/a"),
-    ("junk", "..."),
-    ("junk", "def run(x):\n    y = load_rows(x)\n    for r in y:\n        r.save(x)\n    return y\n\nclass Row:\n    size = 3\n"),
-    ("junk", "00000000  d4 7f 26 68 49 70 fe 3d 66 74 c3 7e 77 53 07 64\n00000010  bb 71 f6 e0 0c 88 d7 29 74 00 7c 0a d3 01 16 09"),
-    ("junk", "2025-08-24T20:06:03Z DEBUG layer[2018]: run=2277 name=a557c7\n2025-05-07T19:01:24Z WARN target[1689]: region=5740 artifact=5c47db"),
-    ("junk", "}*?!+<^#>]|>_>@}@}!!_%|!~%==\\>^#-><!^}%=]/??{^&!*_|/*\\![~#^&+~|{~=}_&%/!}$*\\-#$%}#/"),
-    ("junk", "Wnoyrr unj ok jn phwbyby. Uowcj fivl wzzdzikzp sq lss nbxukm puyo tekiud df ncljiauk xfxfyl ljrc. Vbvjh dp iqrr knasioaur."),
-    ("junk", "fqgb3P4gTfkzLQi8nhPz50ZUo6X6zlMp5LkELoIWC5fbV7nKKBpmsyQJ16x6o4F6PaWZDw8\nb8ASKAJPmGECG9Z2WwKTb7yJ2c9HAbT10UNjKllFjDI3bCCB6IUxU5mMUcMSWpf"),
+    ("prose", "Rain had fallen on the valley for three days, and the river was higher than anyone could remember. When the bridge was closed, most of the people who lived on the other side had to stay with friends."),
+    ("prose", "i am not sure that this is the right place to ask but we have been waiting for the new release since june and nobody seems to know when it will be out"),
+    ("prose", "Nach dem Frühstück gingen wir an den See, weil das Wetter endlich wieder besser war.\n\nDie Kinder wollten nicht baden, aber sie haben den ganzen Tag im Sand gespielt."),
+    ("prose", "Когда поезд пришёл на станцию, было уже темно, и на перроне никого не было. Мы взяли вещи и пошли по дороге в город."),
+    ("prose", "La bibliothèque est ouverte tous les jours, sauf le lundi. On y trouve des livres pour les enfants et une salle où l'on peut travailler sans bruit."),
+    ("prose", "Wieczorem nie było już biletów na pociąg, więc poszliśmy do domu przez park. Wszyscy byli zmęczeni, ale nikt się nie skarżył, że droga jest za długa."),
+    ("prose", "昨日は朝から雨が降っていたので、私たちは家で本を読みました。夕方になると空が明るくなり、庭に鳥が来ました。"),
+    ("prose", "我们在山上住了三天，每天早上都能看到太阳从云里出来。孩子们不想回家，因为那里的空气比城里好。"),
+    ("prose", "> I think that the second answer\n> is the better one, because it\n> explains why the engine stops\n> when it has become too warm."),
+    ("prose", "# A walk\n\nThe path begins behind the church and goes up through the wood. It is steep at first.\n\n- Take water with you.\n\nAt the top there is a small hut where you can rest before you go back."),
+    ("prose", "Before you leave the house:\n\n- Close all the windows, because it may rain in the night.\n- Put the key where we can find it.\n- The dog has to be fed at six.\n- If anything is broken, write to us and we will have it repaired.\n\nThank you for looking after our home while we are away."),
+    ("prose", "- The tent is dry and can be packed.\n- We have not found out who took the map.\n- All of the food that was left is in the blue box."),
+    ("list", "- two eggs\n- flour, 200 g\n- sugar\n- a lemon\n- butter\n- salt"),
+    ("list", "1. Oslo\n2. Lisbon/Porto\n3. New_York\n4. Nairobi\n5. Lima\n6. Hanoi (old town)"),
+    ("list", "* Added dark theme (#77)\n* Removed two fonts (#80)\n* New icons (#81).\n* Faster start (#94)."),
+    ("list", "These are the things we need for the trip.\n\n- tent\n- torch/batteries\n- map_north\n- rope\n- first-aid kit\n- matches\n- two knives\n- stove"),
+    ("list", "- Repaired gate (#3).\n- Painted fence (#8).\n- New roof tiles (#15).\n- Sold tractor (#21).\n\nThe barn is closed until the end of May."),
+    ("table", "| city | people | area |\n| --- | --- | --- |\n| Bern | 134 | 51.6 |\n| Graz | 291 | 127.6 |\n| Nice | 342 | 71.9 |"),
+    ("table", "12.5;8.1;north;2031;-;0.7\n9.9;-;south;1187;0.4;0.2\n-;7.3;west;902;0.1;-"),
+    ("table", "colour: red\nweight: 1200\nowner: none\ndoors: 4\nseats: 5\nsold: yes"),
+    ("table", "The values were taken on Monday.\n\nwind: 12\nrain: none\nsnow: 0\nsun: yes\nlow: 4\nhigh: 17\nstation: hill\nice: no"),
+    ("junk", "ok"),
+    ("junk", "---"),
+    ("junk", "for (i = 0; i < n; i++) {\n    total += price[i] * count[i];\n    if (total > limit) break;\n}\nreturn total;"),
+    ("junk", "import os\nfrom shop import cart\n\ndef pay(order):\n    # Never charge twice.\n    total = cart.sum(order)\n    order.close(total)\n    return total\n\nclass Till:\n    open = False\n"),
+    ("junk", "7f 45 4c 46 02 01 01 00 00 00 00 00 00 00 00 00\n03 00 3e 00 01 00 00 00 80 5a 00 00 00 00 00 00"),
+    ("junk", "[12:01:44.310] ERROR net.c:88 timeout peer=10.0.0.7 retry=3\n[12:01:44.911] INFO net.c:90 peer=10.0.0.7 up rtt=18ms"),
+    ("junk", "$$$ ### @@@ %%% !!! ^^^ &&& *** ((( ))) === +++ ~~~ ;;; ::: <<< >>> ||| {{{ }}}"),
+    ("junk", "Brilna tok vesh mardiq ulpo. Skerr anto giv belush, wratti zoonk perli. Hax odru mimp; taskel vorn ixi."),
+    ("junk", "dGhpcyBpcyBub3QgYSB0ZXh0IHRoYXQgYW55b25lIHdvdWxkIHJlYWQ9PQ0KYW5kIG5laXRo\nZXIgaXMgdGhpcyBvbmUsIGFzIHlvdSBzZWUgd2VsbC4uLg0KcXV4IGZvbyBiYXIgYmF6"),
+    ("junk", "SÃ¼Ã�e �r�chte f�r di� K��ch� sÃ¤t�l�ch �nd �oh �ie�t ma� s�e i� W�nt�r.SÃ¼Ã�e F��chte ��r �ie �Ã¼ch� si�d �n W�nter �oh."),
 ]
 
 # --- parameters ---
 
 LINE_WORDS = 0.15  # share of common words from which words are a sentence's
 KANA_SHARE = 0.25  # the same for kana in Japanese
+HAN_SHARE = 0.04  # the same for particles among Chinese characters
+HANGUL_WORDS = 0.3  # the same for Korean words with an ending
 SYMBOL_LIMIT = 0.14  # share of code marks from which a line is no sentence
 LETTER_LEAST = 0.6  # share of letters a sentence has at least
-PROSE_SHARE = 0.5  # share of a document that sentences must hold
-ROUNDS = 15
+ROUNDS = 30
 TOLERANCE = 1e-4
-VARIANCE_FLOOR = 0.02
-SENTENCE_VARIANCE = 0.06  # at most this, in squared standard deviations, so that no component holds both prose and what is not
+VARIANCE_FLOOR = 0.2  # in squared standard deviations: a statistic most documents share exactly does not outweigh all others
 
 _COMMON = frozenset(w for words in COMMON_WORDS.values() for w in words.split())
 _WORD = re.compile(r"[^\W\d_]+")
 _KANA = re.compile(r"[\u3040-\u30ff]")
 _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
+_HAN = re.compile(r"[\u3400-\u4dbf\u4e00-\u9fff]")
+_PARTICLE = re.compile(f"[{HAN_PARTICLES}]")
+_HANGUL_WORD = re.compile(r"[\uac00-\ud7a3]+")
 _MARK = re.compile(r"[_(){}\[\]=;<>/\\\"|#$%^&*+~@:`0-9]+")
 _DIGIT = re.compile(r"\d+")
 _BULLET = re.compile(r"^\s*(?:[-*+•–—·]|\d{1,4}[.)]|\(?[a-z]\)|\[[ x]\])\s+")
@@ -89,14 +114,32 @@ MEASURES = ["n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punct
 _TYPES = "n_words long, mean_word_length double, symbol_ratio double, digit_ratio double, punct_line_share double, common_word_share double, bullet_line_share double, table_line_share double, sentence_share double"
 
 
+def _wide_common(plain: str) -> tuple[int, int]:
+    """(characters of Japanese or Chinese, those that only sentences have) of a text outside ASCII."""
+    kana = len(_KANA.findall(plain))
+    han = len(_HAN.findall(plain))
+    if kana >= KANA_SHARE * (kana + han):  # Japanese
+        return kana + han, kana
+    particles = len(_PARTICLE.findall(plain))
+    # counted as if they were kana, so that one bound serves both
+    return kana + han, max(kana, int(particles * KANA_SHARE / HAN_SHARE))
+
+
 def _line_counts(line: str) -> tuple[int, int, int, int, int, int, int]:
     """Of a line outside code spans, after its non-blank characters in all: (all, outside, letters, words, common words, code marks, kana)."""
     solid = len("".join(line.split()))
     plain = _CODE_SPAN.sub(" ", line) if "`" in line else line
     left = solid if plain is line else len("".join(plain.split()))
     words = _WORD.findall(plain.lower())
-    kana = 0 if plain.isascii() else len(_KANA.findall(plain))
-    return solid, left, sum(map(len, words)), len(words), sum(w in _COMMON for w in words), len(plain) - len(_MARK.sub("", plain)), kana
+    common = sum(w in _COMMON for w in words)
+    kana = 0
+    if not plain.isascii():
+        kana = _wide_common(plain)[1]
+        korean = _HANGUL_WORD.findall(plain)
+        if korean:
+            ended = sum(len(w) > 1 and w[-1] in HANGUL_ENDINGS for w in korean)
+            common += len(korean) if ended >= HANGUL_WORDS * len(korean) else 0
+    return solid, left, sum(map(len, words)), len(words), common, len(plain) - len(_MARK.sub("", plain)), kana
 
 
 def _sentence_like(left: int, letters: int, words: int, common: int, marks: int, kana: int) -> bool:
@@ -139,7 +182,7 @@ def measure(text: str | None) -> tuple:
         return 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
     wide = kana = n_lines = n_bullets = n_rows = n_paragraphs = n_ended = letters = n_words = n_common = 0
     if not text.isascii():
-        wide, kana = len(_WIDE.findall(text)), len(_KANA.findall(text))
+        wide, kana = _wide_common(text)
     run, last = _Run(), ""
     for raw in text.split("\n"):
         line = _QUOTE.sub("", raw).strip() if raw.lstrip().startswith(">") else raw.strip()
@@ -267,7 +310,6 @@ def fit_mixture(stats: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLER
     scale = np.maximum(np.array(row[1 + d :], "f8"), 1e-2)
     seeds = np.array([_vector(measure(t)) for _, t in EXAMPLES])
     model = Mixture(centre, scale, np.full(len(seeds), 1 / len(seeds)), (seeds - centre) / scale, np.full(seeds.shape, 1.0))
-    model.variances[:, -1] = SENTENCE_VARIANCE
     before = None
     for _ in range(rounds):
         parts = stats.select(*MEASURES).mapInArrow(lambda it, m=model: _sums(it, m), "sums array<double>")
@@ -280,7 +322,6 @@ def fit_mixture(stats: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLER
         mass = m[:, :1] + 1e-3  # an empty component keeps its place
         means = (m[:, 1 : 1 + d] + 1e-3 * model.means) / mass
         variances = np.maximum((m[:, 1 + d :] + 1e-3 * (model.variances + model.means**2)) / mass - means**2, VARIANCE_FLOOR)
-        variances[:, -1] = np.minimum(variances[:, -1], SENTENCE_VARIANCE)
         model = Mixture(centre, scale, mass[:, 0] / mass.sum(), means, variances)
         if before is not None and abs(level - before) < tolerance:
             break
@@ -290,10 +331,7 @@ def fit_mixture(stats: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLER
 
 
 def _kinds(model: Mixture, seeds) -> list[str]:
-    """Each component takes the kind of the examples it answers for; one that answers for none, that of the nearest example.
-
-    A component whose documents are mostly sentences can only be prose, and no other can.
-    """
+    """Each component takes the kind of the examples it answers for; one that answers for none, that of the example nearest to it."""
     import numpy as np
 
     r, _ = model.responsibilities(seeds)
@@ -302,12 +340,11 @@ def _kinds(model: Mixture, seeds) -> list[str]:
     for c in range(len(model.weights)):
         votes: dict[str, float] = {}
         for kind, share in zip(names, r[:, c]):
-            votes[kind] = votes.get(kind, 0.0) + share
-        sentences = model.means[c][-1] * model.scale[-1] + model.centre[-1]
-        open_kinds = {k for k in names if (k == "prose") == (sentences >= PROSE_SHARE)}  # prose is what sentences fill
-        best = max(open_kinds, key=lambda v: (votes[v], v))
+            votes[kind] = votes.get(kind, 0.0) + float(share)
+        best = max(votes, key=lambda v: (votes[v], v))
         if votes[best] < 0.5:
-            best = min(((np.square(x - model.means[c]).sum(), n) for x, n in zip(z, names) if n in open_kinds))[1]
+            away = (np.square(z - model.means[c]) / model.variances[c]).sum(1)
+            best = names[int(away.argmin())]
         kinds.append(best)
     return kinds
 

@@ -100,8 +100,8 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents the mixture does not hold for prose; those whose sentences fill half of them after all are dropped."""
-    return p9_statistics(spark, d).filter((F.col("kind") != "prose") & (F.col("sentence_share") < quality.PROSE_SHARE)).select("doc_id")
+    """Documents the mixture does not hold for prose."""
+    return p9_statistics(spark, d).filter(F.col("kind") != "prose").select("doc_id")
 
 
 QUERIES = {

@@ -29,6 +29,35 @@ def test_held_out_accuracy(spark):
     assert sum(told[i] == k for i, k, _ in data) >= 0.9 * len(data)
 
 
+OTHER_LANGUAGES = {
+    "ru": ["Мы долго искали дом, но на улице не было никого, кто мог бы нам помочь.", "Вечером он сказал, что завтра все будут дома.", "Книга, которую вы дали мне, была очень интересной."],
+    "pl": ["Kiedy wrócili do domu, było już ciemno i nikt nie czekał przy drzwiach.", "Nie wiem, czy to jest dobra droga, ale możemy spróbować.", "Książka, która leży na stole, jest dla ciebie."],
+    "zh": ["我们昨天去了山上，因为天气很好，孩子们也不想在家里。", "他说他会在下个月回来，到时候我们就可以一起走。", "这本书是我的，不过你可以把它带回家。"],
+    "ko": ["우리는 어제 산에 갔지만 비가 와서 일찍 집으로 돌아왔다.", "그는 다음 달에 돌아올 것이라고 말했습니다.", "이 책은 제가 가장 좋아하는 책이에요."],
+    "it": ["Quando siamo arrivati alla stazione, il treno era già partito e non c'era più nessuno.", "La casa è grande, ma il giardino è senza alberi."],
+}
+
+
+def test_prose_of_other_languages_is_kept(spark):
+    rng = random.Random(5)
+    data = [(i, make(rng, rng.choice(["prose"] * 6 + ["list", "table", "junk"]))) for i in range(500)]
+    others = [" ".join(rng.choice(texts) for _ in range(rng.randint(3, 12))) for texts in OTHER_LANGUAGES.values() for _ in range(6)]
+    df = spark.createDataFrame(data + [(1000 + i, t) for i, t in enumerate(others)], "doc_id long, text string")
+    told = {r.doc: r.kind for r in quality.classify_documents(df).collect()}
+    assert sum(told[1000 + i] == "prose" for i in range(len(others))) >= 0.95 * len(others)
+
+
+def test_mixture_overrules_the_share_of_sentences(spark):
+    """Texts of broken bytes whose words pass for sentences are not prose."""
+    rng = random.Random(8)
+    data = [(i, make(rng, "prose" if i % 4 else "junk")) for i in range(400)]
+    broken = ["".join("\ufffd" if rng.random() < 0.17 else ch for ch in PROSE[rng.choice([0, 1, 2, 4])].replace("e", "\u00c3\u00a9") * 4) for _ in range(20)]
+    df = spark.createDataFrame(data + [(1000 + i, t) for i, t in enumerate(broken)], "doc_id long, text string")
+    rows = {r.doc: r for r in quality.classify_documents(df).collect()}
+    passing = [rows[i] for i in rows if i >= 1000 and rows[i].sentence_share >= 0.5]
+    assert len(passing) >= 10 and sum(r.kind != "prose" for r in passing) >= 0.9 * len(passing)
+
+
 @pytest.mark.parametrize(
     ("text", "prose"),
     [
@@ -45,7 +74,7 @@ def test_held_out_accuracy(spark):
     ],
 )
 def test_share_of_sentences(text, prose):
-    assert (quality.measure(text)[-1] >= quality.PROSE_SHARE) == prose
+    assert (quality.measure(text)[-1] >= 0.5) == prose
 
 
 def test_statistics_by_hand():
