@@ -4,7 +4,9 @@ The texts of a source are laid end to end in a pseudorandom order and cut into
 blocks of equal length in tokens. The mix has as many blocks as the scarcest
 source allows at its share (or fewer, on request). Every output shard draws how
 many of its slots go to which source: multinomial counts, conditioned on the
-total quota of each source, so the shares hold exactly over all shards. The
+total quota of each source, so the shares hold exactly over all shards. They
+are drawn in the tasks by keyed halving of the shards; no list of shards exists
+anywhere. The
 i-th slot of a source takes block pi(i mod B), pi being a keyed permutation of
 the B blocks that changes with every pass over the source; slots and blocks are
 joined by that index.
@@ -34,6 +36,7 @@ from ..session import cut, salted_prefix_sum
 
 BLOCK_TOKENS = 256
 SLOTS_PER_SHARD = 1024
+SHARDS_PER_TASK = 1024
 SEED = 77
 
 SLOT = "shard long, slot long, source string, pass_no long, block long"
@@ -111,72 +114,102 @@ def _stable_key(*parts) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode(), digest_size=8).digest(), "little")
 
 
-def _slots(batches: Iterator, plans: list[SourcePlan], counts_of, seed: int) -> Iterator:
+def draw_without_return(rng, good: int, bad: int, drawn: int) -> int:
+    """Hypergeometric draw for populations of any size.
+
+    The ratios of neighbouring probabilities are laid out around the mean, far
+    enough that what lies beyond is below the precision of a double, and one
+    uniform number is looked up in their running sum.
+    """
+    import numpy as np
+
+    low, high = max(0, drawn - bad), min(drawn, good)
+    if low == high:
+        return low
+    share = good / (good + bad)
+    mean = drawn * share
+    reach = 12 * (mean * (1 - share)) ** 0.5 + 40
+    first, last = max(low, int(mean - reach)), min(high, int(mean + reach) + 1)
+    k = np.arange(first, last, dtype="f8")
+    steps = np.log(good - k) + np.log(drawn - k) - np.log(k + 1) - np.log(bad - drawn + k + 1)
+    weight = np.concatenate([[0.0], np.cumsum(steps)])
+    running = np.cumsum(np.exp(weight - weight.max()))
+    return min(last, first + int(np.searchsorted(running, rng.random() * running[-1], "right")))
+
+
+def shard_counts(quotas: list[int], shards: int, seed: int, first: int = 0, last: int | None = None) -> Iterator[tuple[int, list[int], list[int]]]:
+    """``(shard, counts, starts)`` of the shards from ``first`` up to ``last``: slots of every source in the shard and in the shards before it.
+
+    Counts are multinomial given the quotas. The shards are halved again and
+    again; the left half draws its counts from those of the whole with a key of
+    its own, so any task finds its shards on its own, by as many draws as the
+    number of shards has binary digits, and all tasks agree.
+    """
+    import numpy as np
+
+    total, last = sum(quotas), shards if last is None else last
+
+    def before(shard: int) -> int:
+        return total * shard // shards
+
+    pending = [(0, shards, list(quotas), [0] * len(quotas))]
+    while pending:
+        lo, hi, counts, starts = pending.pop()
+        if hi <= first or lo >= last:
+            continue
+        if hi - lo == 1:
+            yield lo, counts, starts
+            continue
+        middle = (lo + hi) // 2
+        rng = np.random.default_rng(_stable_key(seed, "halve", lo, hi))
+        size, rest, left = before(middle) - before(lo), sum(counts), []
+        for n in counts:
+            rest -= n
+            taken = draw_without_return(rng, n, rest, size)
+            left.append(taken)
+            size -= taken
+        pending.append((middle, hi, [n - m for n, m in zip(counts, left)], [a + m for a, m in zip(starts, left)]))
+        pending.append((lo, middle, left, starts))
+
+
+def _slots(batches: Iterator, plans: list[SourcePlan], shards: int, seed: int) -> Iterator:
     """The slots of each shard: which source, pass and block; their order within the shard is shuffled."""
     import numpy as np
     import pyarrow as pa
 
+    names = pa.array([p.source for p in plans], pa.string())
     for batch in batches:
-        for shard in batch.column(0).to_pylist():
-            counts, starts = counts_of(shard)
-            sources, passes, blocks = [], [], []
+        numbers = batch.column(0).to_numpy()
+        if not len(numbers):
+            continue
+        wanted = set(numbers.tolist())
+        for shard, counts, starts in shard_counts([p.quota for p in plans], shards, seed, int(numbers.min()), int(numbers.max()) + 1):
+            if shard not in wanted:
+                continue
+            passes, blocks = [], []
             for p, n, start in zip(plans, counts, starts):
-                if not n:
-                    continue
                 at = np.arange(start, start + n)
                 turn = at // p.blocks
                 out = np.empty(n, "i8")
                 for t in np.unique(turn):
                     here = turn == t
                     out[here] = permute(at[here] % p.blocks, p.blocks, _stable_key(seed, p.source, int(t)))
-                sources += [p.source] * int(n)
                 passes.append(turn)
                 blocks.append(out)
-            if not sources:
-                continue
-            order = np.random.default_rng(_stable_key(seed, "order", shard)).permutation(len(sources))
+            order = np.random.default_rng(_stable_key(seed, "order", shard)).permutation(sum(counts))
+            source = np.repeat(np.arange(len(plans)), counts)[order]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(order), shard, "i8")), pa.array(np.arange(len(order), dtype="i8")), pa.array([sources[i] for i in order], pa.string()),
-                    pa.array(np.concatenate(passes)[order]), pa.array(np.concatenate(blocks)[order]),
-                ],
+                [pa.array(np.full(len(order), shard, "i8")), pa.array(np.arange(len(order), dtype="i8")), names.take(pa.array(source)), pa.array(np.concatenate(passes)[order]), pa.array(np.concatenate(blocks)[order])],
                 names=["shard", "slot", "source", "pass_no", "block"],
-            )
-
-
-def shard_counts(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
-    """Multinomial counts of every shard given the quotas: each shard draws its slots from what is left of every source."""
-    import numpy as np
-
-    rng, left, out = np.random.default_rng(seed), np.array(quotas, "i8"), []
-    for shard in range(shards):
-        size = int(left.sum()) // (shards - shard)
-        drawn = np.zeros(len(left), "i8")
-        rest, open_total = size, int(left.sum())
-        for i, n in enumerate(left.tolist()):  # one hypergeometric draw per source
-            others = open_total - n
-            if rest and n:
-                big = n + others > 10**9
-                share = int(rng.binomial(rest, n / (n + others))) if big else int(rng.hypergeometric(n, others, rest))
-                drawn[i] = min(n, max(share, rest - others))
-            rest, open_total = rest - int(drawn[i]), others
-        left -= drawn
-        out.append(drawn.tolist())
-    return out
+            )
 
 
 def mix_slots(spark, plans: list[SourcePlan], seed: int = SEED, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
     """``shard, slot, source, pass_no, block`` for every slot of the mix."""
     live = [p for p in plans if p.quota]
-    total = sum(p.quota for p in live)
-    shards = -(-total // slots_per_shard) if total else 0
-    counts = shard_counts([p.quota for p in live], shards, seed) if shards else []
-    starts, running = [], [0] * len(live)
-    for row in counts:
-        starts.append(list(running))
-        running = [a + b for a, b in zip(running, row)]
-    numbers = spark.range(shards, numPartitions=max(1, min(shards, spark.sparkContext.defaultParallelism)))
-    return numbers.mapInArrow(lambda it: _slots(it, live, lambda s: (counts[s], starts[s]), seed), SLOT)
+    shards = -(-sum(p.quota for p in live) // slots_per_shard)
+    tasks = max(1, min(shards, max(spark.sparkContext.defaultParallelism, -(-shards // SHARDS_PER_TASK))))
+    return spark.range(shards, numPartitions=tasks).mapInArrow(lambda it: _slots(it, live, shards, seed), SLOT)
 
 
 def source_pieces(sized: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:

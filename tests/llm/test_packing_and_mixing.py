@@ -88,9 +88,35 @@ def test_permutations_are_bijections(size, key):
 
 
 def test_shard_counts_meet_the_quotas_and_vary():
-    counts = mixing.shard_counts([500, 300, 200], 10, 3)
+    rows = list(mixing.shard_counts([500, 300, 200], 10, 3))
+    counts = [c for _, c, _ in rows]
+    assert [n for n, _, _ in rows] == list(range(10))
     assert [sum(c) for c in zip(*counts)] == [500, 300, 200] and {sum(c) for c in counts} == {100}
     assert len({tuple(c) for c in counts}) > 3
+    assert [s for _, _, s in rows] == [[sum(c[i] for c in counts[:n]) for i in range(3)] for n in range(10)]
+    assert list(mixing.shard_counts([500, 300, 200], 10, 3, 4, 7)) == rows[4:7]
+
+
+@pytest.mark.parametrize(("good", "bad", "drawn"), [(30, 50, 20), (3, 2, 4), (1, 999, 10), (400, 600, 500)])
+def test_draws_follow_the_hypergeometric_law(good, bad, drawn):
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    seen = Counter(mixing.draw_without_return(rng, good, bad, drawn) for _ in range(4000))
+    for k, n in seen.items():
+        p = math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(good + bad, drawn)
+        assert abs(n / 4000 - p) < 5 * (p * (1 - p) / 4000) ** 0.5 + 1e-3
+
+
+def test_huge_mixes_are_drawn_alike():
+    """A hundred billion slots: one task's shards come from a few dozen draws, quotas hold in every half."""
+    quotas = [60 * 10**9, 30 * 10**9, 10**10, 7]
+    rows = list(mixing.shard_counts(quotas, 10**8, 5, 12_345_678, 12_345_698))
+    assert len(rows) == 20 and {sum(c) for _, c, _ in rows} <= {1000, 1001}
+    assert all(abs(c[0] - 600) < 100 for _, c, _ in rows)
+    assert all(abs(s[0] / sum(s) - 0.6) < 1e-4 for _, _, s in rows)
 
 
 def test_plan_respects_repeats_and_shares():
