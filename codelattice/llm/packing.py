@@ -2,8 +2,8 @@
 
 The plan is made on the histogram of sizes, which has at most ``capacity``
 entries however many items there are: first the Martello-Toth reduction fixes
-containers whose content provably dominates every alternative, many equal ones
-at a time, then best-fit decreasing places the rest. The plan is a list of
+containers whose content dominates every alternative, many equal ones at a
+time, then best-fit decreasing places the rest. The plan is a list of
 rules (size, first item, items per container, first container), also bounded
 by the capacity. Items are numbered within their size over salted buckets and
 look their rule up by binary search.
@@ -47,69 +47,121 @@ class Plan:
         self.reduced += times
 
 
+class _Stock:
+    """Items left by size, with the largest size in stock up to a bound looked up by path halving."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = [0] * (capacity + 1)
+        for size, n in counts.items():
+            self.left[size] = n
+        self.lower = list(range(capacity + 1))
+
+    def largest(self, bound: int) -> int:
+        """Largest size in stock of at most ``bound``; 0 if there is none."""
+        lower, left, at = self.lower, self.left, bound
+        while at and not left[at]:
+            step = lower[at]
+            if step == at:
+                lower[at] = step = at - 1
+            elif not left[step]:
+                lower[at] = lower[step] if lower[step] != step else max(0, step - 1)
+                step = lower[at]
+            at = step
+        return at
+
+    def beside(self, taken: list[int], bound: int) -> int:
+        """The same when the items of ``taken`` are out of stock."""
+        at = self.largest(bound)
+        while at and self.left[at] <= taken.count(at):
+            at = self.largest(at - 1)
+        return at
+
+    def smallest(self, how_many: int) -> list[int]:
+        out: list[int] = []
+        at = self.first
+        while len(out) < how_many and at < len(self.left):
+            out += [at] * min(self.left[at], how_many - len(out))
+            at += 1
+        return out
+
+    def settle(self) -> None:
+        """Moves the mark of the smallest size in stock."""
+        at = getattr(self, "first", 1)
+        while at < len(self.left) and not self.left[at]:
+            at += 1
+        self.first = at
+
+
+def _pairs_of(stock: _Stock, j: int, room: int, b: int) -> tuple[int, int]:
+    """Largest sum of two further items that fit beside ``j``, and of two that are both above ``b``; 0 if there is none."""
+    import numpy as np
+
+    left = np.array(stock.left[: room + 1], "i8")
+    if j <= room:
+        left[j] -= 1
+    sizes = np.flatnonzero(left > 0)
+    best = [0, 0]
+    for i, pool in enumerate((sizes, sizes[sizes > b])):
+        if not len(pool):
+            continue
+        at = np.searchsorted(pool, room - pool, "right") - 1
+        own = (at >= 0) & (pool[np.maximum(at, 0)] == pool) & (left[pool] < 2)
+        at = np.where(own, at - 1, at)  # a single item is no pair with itself
+        sums = np.where(at >= 0, pool + pool[np.maximum(at, 0)], 0)
+        best[i] = int(sums.max())
+    return best[0], best[1]
+
+
+def _dominant(stock: _Stock, j: int, capacity: int) -> list[int] | None:
+    """The set with ``j`` that dominates every other feasible set with ``j``, or None if none of the tests shows one."""
+    room = capacity - j
+    k = stock.beside([j], room)
+    if not k:
+        return [j]  # nothing fits beside it
+    if k == room:
+        return [j, k]  # whatever else fits has at most the size of k
+    low = stock.smallest(4)
+    if j in low:
+        low.remove(j)
+    if sum(low[:2]) > room or len(low) < 2:
+        return [j, k]  # no two items fit: the largest dominates every single one
+    if sum(low[:3]) <= room and len(low) > 2:
+        return None  # sets of three or more fit, and nothing is said about them
+    b = stock.beside([j, k], room - k)
+    pair, high_pair = _pairs_of(stock, j, room, b)
+    if pair <= k:
+        return [j, k]  # every pair lies within k
+    if b and high_pair <= k:
+        return [j, k, b]  # a pair lies in k and b, or both of it within k
+    return None
+
+
 def reduce_dominated(counts: dict[int, int], plan: Plan) -> dict[int, int]:
     """Martello-Toth reduction over a histogram, with sets of up to three items.
 
-    Around a leading item j the set chosen dominates all other feasible sets
-    that hold j: nothing fits beside it; or the largest single item k that fits
-    is at least as large as every pair that fits; or k with the largest b that
-    fits beside both, where no third item fits and every pair with a member
-    above b is no larger than k.
+    A set with item j dominates another if the other's items can be dealt to
+    its members so that each member is at least as large as what it is dealt.
+    Sets that dominate all others with j are fixed for as many j as there are;
+    where three or more items fit beside j, only an exact fit is fixed.
     """
-    import numpy as np
-
     capacity = plan.capacity
-    left = dict(counts)
+    stock = _Stock(counts, capacity)
     changed = True
     while changed:
         changed = False
-        sizes = np.array(sorted(s for s, n in left.items() if n > 0), "i8")
-        for j in sizes[::-1].tolist():
-            while left.get(j, 0) > 0:
-                have = np.array([s for s in sizes.tolist() if left[s] - (s == j) > 0], "i8")
-                room = capacity - j
-                fits = have[have <= room]
-                if not len(fits):
-                    plan.fix([j], left[j])
-                    left[j] = 0
-                    changed = True
-                    break
-                k = int(fits[-1])
-                best_pair, odd_pair, b = 0, 0, 0
-                # the best partner of every member of a pair, one size at most once where only one item is left
-                at = np.searchsorted(fits, room - fits, "right") - 1
-                ok = at >= 0
-                if ok.any():
-                    first, second = fits[ok], fits[at[ok]].copy()
-                    same = first == second
-                    if same.any():
-                        spare = np.array([left[int(s)] - (int(s) == j) for s in first[same]])
-                        lower = np.where(spare >= 2, at[ok][same], at[ok][same] - 1)
-                        second[same] = np.where(lower >= 0, fits[np.maximum(lower, 0)], 0)
-                    first, second = first[second > 0], second[second > 0]
-                    if len(first):
-                        best_pair = int((first + second).max())
-                    beside = fits[fits <= room - k]
-                    if len(beside):
-                        b = int(beside[-1])
-                        if b == k and left[k] - (k == j) < 2:
-                            b = int(beside[-2]) if len(beside) > 1 else 0
-                    if b and len(first):
-                        both_above = (first > b) & (second > b)
-                        odd_pair = int((first + second)[both_above].max()) if both_above.any() else 0
-                smallest = int(fits[0])
-                if best_pair <= k:
-                    content = [j, k]
-                elif b and 3 * smallest > room and odd_pair <= k:
-                    content = [j, k, b]
-                else:
+        stock.settle()
+        for j in range(capacity, 0, -1):
+            while stock.left[j] > 0:
+                stock.settle()
+                content = _dominant(stock, j, capacity)
+                if content is None:
                     break
-                times = min(left[s] // content.count(s) for s in set(content))
+                times = min(stock.left[s] // content.count(s) for s in set(content))
                 plan.fix(content, times)
                 for s in content:
-                    left[s] -= times
+                    stock.left[s] -= times
                 changed = True
-    return {s: n for s, n in left.items() if n > 0}
+    return {s: n for s, n in enumerate(stock.left) if n > 0}
 
 
 def best_fit(counts: dict[int, int], plan: Plan) -> None:
@@ -174,20 +226,23 @@ def make_plan(counts: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-def _assign(batches: Iterator, rules: list[Rule], first_container: int) -> Iterator:
+def _assign(batches: Iterator, rules: list[Rule]) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
     table = np.array(sorted(rules), "i8").reshape(-1, 5)
-    sizes, starts = table[:, 0], table[:, 1]
-    shift = np.int64(44)  # sizes below 2^19, items of one size below 2^44
-    keys = (sizes << shift) + starts
+    sizes, first = np.unique(table[:, 0], return_index=True)
+    # items are numbered through all sizes, so any size and any number of items has a key
+    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(table[:, 2], first) if len(first) else [])]).astype("i8")
+    keys = ends[np.searchsorted(sizes, table[:, 0])] + table[:, 1]
     for batch in batches:
         size, at = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
         if not len(size):
             continue
-        rule = np.searchsorted(keys, (size.astype("i8") << shift) + at, "right") - 1
-        container = table[rule, 4] + (at - table[rule, 1]) // table[rule, 3] + first_container
+        rule = np.searchsorted(keys, ends[np.searchsorted(sizes, size)] + at, "right") - 1
+        if not np.array_equal(table[rule, 0], size):
+            raise ValueError("an item has no rule: the sizes changed while they were packed")
+        container = table[rule, 4] + (at - table[rule, 1]) // table[rule, 3]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(container)], names=["item", "piece", "size", "container"])
 
 
@@ -206,7 +261,7 @@ def pack(items: DataFrame, capacity: int, item: str = "item", size: str = "size"
     plan = make_plan(histogram, capacity)
     numbered = salted_rank(remainders, ["size"], ["item"], "at")
     rules = plan.rules
-    placed = numbered.select("item", "piece", "size", "at").mapInArrow(lambda it: _assign(it, rules, 0), f"item {kind}, piece long, size long, container long")
+    placed = numbered.select("item", "piece", "size", "at").mapInArrow(lambda it: _assign(it, rules), f"item {kind}, piece long, size long, container long")
     # whole containers of items above the capacity: numbered after all others
     large = sized.filter(F.col("n") >= capacity).select("item", F.explode(F.sequence(F.lit(0).cast("long"), (whole - 1).cast("long"))).alias("piece"))
     filled = salted_rank(large, [], ["item", "piece"], "at").select("item", "piece", F.lit(capacity).cast("long").alias("size"), (F.col("at") + F.lit(plan.containers)).alias("container"))

@@ -55,6 +55,40 @@ def test_plans_are_valid_and_the_reduction_keeps_the_optimum(capacity, data):
     assert part.containers + (optimum(left, capacity) if left else 0) == best
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(15, 30), st.data())
+def test_reduction_with_small_items_keeps_the_optimum(capacity, data):
+    items = data.draw(st.lists(st.integers(capacity // 3, capacity), min_size=1, max_size=5)) + data.draw(st.lists(st.integers(1, capacity // 5), min_size=2, max_size=5))
+    part = packing.Plan(capacity)
+    rest = packing.reduce_dominated(dict(Counter(items)), part)
+    left = [s for s, n in rest.items() for _ in range(n)]
+    assert part.containers + (optimum(left, capacity) if left else 0) == optimum(items, capacity)
+
+
+def test_sets_of_three_stop_the_reduction():
+    """{10, 7} leaves 2 unused, but 10 with three 3s fills its container: nothing may be fixed."""
+    part = packing.Plan(19)
+    assert packing.reduce_dominated({10: 1, 7: 1, 3: 7}, part) == {10: 1, 7: 1, 3: 7} and part.rules == []
+
+
+def test_wide_histogram_is_planned_quickly():
+    import time
+
+    counts = Counter(1 + (i * i * 31 + i * 17) % 32_767 for i in range(100_000))
+    began = time.perf_counter()
+    plan = packing.make_plan(counts, 32_768)
+    assert time.perf_counter() - began < 10 and simulate(plan, counts) <= 1.02 * -(-sum(s * n for s, n in counts.items()) // 32_768)
+
+
+def test_sizes_and_counts_have_no_bound_of_their_own():
+    import pyarrow as pa
+
+    rules = [(1 << 40, 0, 1 << 50, 1, 0), (5, 0, 1 << 50, 1 << 20, 1 << 50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array([1 << 40, 5]), pa.array([(1 << 50) - 1, 1 << 49])], names=["item", "piece", "size", "at"])
+    (out,) = packing._assign(iter([batch]), rules)
+    assert out.column(3).to_pylist() == [(1 << 50) - 1, (1 << 50) + (1 << 29)]
+
+
 def test_large_histogram_is_packed_tightly():
     counts = Counter(1 + (i * i * 31 + i) % 400 for i in range(60_000))
     plan = packing.make_plan(counts, 512)
