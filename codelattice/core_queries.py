@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import hierarchy, increments, references, skew
-from .session import cut, load
+from .session import cut, ensure_checkpoint_dir, load
 
 EDGE_IDENTITY = ["source_qualified", "file_path", "line"]
 HEAVY_PERCENT = 1
@@ -20,19 +22,44 @@ def committed_runs(spark: SparkSession, d: str) -> DataFrame:
     return increments.islands(load(spark, d, "tasks").filter(F.col("state") == "done").select("id"), "id")
 
 
-def recorded_files(spark: SparkSession, d: str) -> DataFrame:
-    rows = increments.rows_within(load(spark, d, "file_meta").select("task_id", "file_path", "file_hash", "recorded_at"), "task_id", committed_runs(spark, d))
-    return hierarchy.latest_rows(rows, "file_path", "recorded_at", ["file_hash", "task_id"])
-
-
 def current_files(spark: SparkSession, d: str) -> DataFrame:
     files = load(spark, d, "nodes").filter(F.col("kind") == "File").select("file_path", "file_hash", "updated_at")
     return hierarchy.latest_rows(files, "file_path", "updated_at", ["file_hash"])
 
 
+def numbered_files(spark: SparkSession, d: str, done: DataFrame) -> DataFrame:
+    """Every current file with the number of the run it belongs to, and whether it is new or changed.
+
+    A file in the state that finished runs recorded last belongs to the run
+    that recorded it. Any other belongs to the unfinished run that stored its
+    present state last, if one did, else to the run that is to come.
+    """
+    ledger = load(spark, d, "file_meta").select("task_id", "file_path", "file_hash", "recorded_at").filter(F.col("file_path").isNotNull() & F.col("task_id").isNotNull())
+    marked = increments.mark_within(ledger, "task_id", done, "finished")
+    row = F.struct("recorded_at", "file_hash", "task_id")
+    last = marked.groupBy(F.col("file_path").alias("_path")).agg(F.max(F.when(F.col("finished"), row)).alias("was"), F.max(F.when(~F.col("finished"), row)).alias("open"))
+    runs = load(spark, d, "tasks").select("id").unionByName(ledger.select(F.col("task_id").alias("id")))
+    coming = (runs.agg(F.max("id")).first()[0] or 0) + 1
+    both = current_files(spark, d).join(last, F.col("file_path") == F.col("_path"), "left")
+    settled = F.col("was").isNotNull() & F.col("was.file_hash").eqNullSafe(F.col("file_hash"))
+    stored = F.col("open").isNotNull() & F.col("open.file_hash").eqNullSafe(F.col("file_hash"))
+    run = F.when(settled, F.col("was.task_id")).when(stored, F.col("open.task_id")).otherwise(F.lit(coming))
+    return both.select("file_path", run.cast("long").alias("run"), F.when(F.col("was").isNull(), "new").otherwise("changed").alias("change"))
+
+
 def p3_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Files to process next, new or changed."""
-    return increments.changed_keys(current_files(spark, d), recorded_files(spark, d), "file_path", "file_hash")
+    """Files to process next, new or changed: those whose run is a gap between the runs that finished.
+
+    The ledger takes over the finished runs, processes the gaps and commits
+    them with its output, which is the answer.
+    """
+    done = cut(committed_runs(spark, d))
+    files = cut(numbered_files(spark, d, done))
+    ledger = increments.IntervalLedger(spark, f"{ensure_checkpoint_dir(spark)}/increments/{uuid.uuid4().hex}")
+    ledger.adopt(done)
+    ledger.run(files, "run", lambda rows: rows.select("file_path", "change"))
+    processed = ledger.output()
+    return files.select("file_path", "change").limit(0) if processed is None else processed
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +68,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_run_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Runs the ledger names, as intervals that are processed or still a gap."""
-    done = committed_runs(spark, d)
+    done = cut(committed_runs(spark, d))
     named = increments.islands(load(spark, d, "file_meta").select("task_id"), "task_id")
     gaps = increments.gaps_between(named, done)
     return done.withColumn("status", F.lit("processed")).unionByName(gaps.withColumn("status", F.lit("gap")))

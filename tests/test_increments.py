@@ -1,26 +1,44 @@
+import random
+
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from codelattice import core_queries
 from codelattice.operators import increments as inc
 from conftest import rows
 
-spans = st.lists(st.tuples(st.integers(0, 60), st.integers(0, 12)).map(lambda x: (x[0], x[0] + x[1])), max_size=8)
-
-
 def numbers(intervals):
     return {n for lo, hi in intervals for n in range(lo, hi + 1)}
 
 
-@settings(max_examples=200, deadline=None)
-@given(spans, spans)
-def test_interval_sets_match_sets_of_numbers(a, b):
-    merged, gaps = inc.merge(a), inc.subtract(a, b)
+def draw(rng, n):
+    return [(a, a + rng.randint(0, 12)) for a in (rng.randint(0, 200) for _ in range(n))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_interval_sets_match_sets_of_numbers(spark, seed):
+    rng = random.Random(seed)
+    a, b = draw(rng, 25), draw(rng, 15 * (seed % 3))
+    frame = lambda x: spark.createDataFrame(x, "lo long, hi long")
+    merged, gaps = rows(inc.join_neighbours(frame(a))), rows(inc.gaps_between(frame(a), frame(b)))
     assert numbers(merged) == numbers(a) and numbers(gaps) == numbers(a) - numbers(b)
     for found in (merged, gaps):
-        assert all(lo <= hi for lo, hi in found) and all(x[1] < y[0] for x, y in zip(found, found[1:]))
-    assert all(x[1] + 1 < y[0] for x, y in zip(merged, merged[1:]))
+        found = sorted(found)
+        assert all(lo <= hi for lo, hi in found) and all(x[1] + 1 < y[0] for x, y in zip(found, found[1:]))
+
+
+@pytest.mark.parametrize(("few", "arrays"), [(64, 1000), (0, 1000), (0, 0)])
+def test_membership_by_filters_arrays_and_ranges(spark, monkeypatch, few, arrays):
+    monkeypatch.setattr(inc, "FILTER_INTERVALS", few)
+    monkeypatch.setattr(inc, "ARRAY_INTERVALS", arrays)
+    monkeypatch.setattr(inc, "RANGE_INTERVALS", 3)
+    spans = [(3, 4), (9, 22), (29, 40), (50, 50), (10**12, 2 * 10**12), (-5, -3), (60, 61), (70, 71)]
+    wanted = [3, 9, 22, 40, 50, 10**12, 10**12 + 7, -4, 60, 71]
+    others = [0, 5, 8, 23, 28, 41, 49, 51, -6, -2, 3 * 10**12, None]
+    df = spark.createDataFrame([(n, "x") for n in wanted * 3 + others], "seq long, lo string")
+    held = spark.createDataFrame(spans, "lo long, hi long")
+    assert sorted(r.seq for r in inc.rows_within(df, "seq", held).collect()) == sorted(wanted * 3)
+    assert inc.mark_within(df, "seq", held, "hit").count() == len(wanted) * 3 + len(others)
+    assert inc.rows_within(df, "seq", held.limit(0)).count() == 0
 
 
 def test_islands_join_across_blocks_and_ignore_nulls_and_repeats(spark):
@@ -35,16 +53,10 @@ def test_gaps_and_membership_as_frames(spark):
     gaps = inc.gaps_between(available, done)
     assert rows(gaps) == [(1, 2), (23, 28), (5, 8)]
     df = spark.createDataFrame([(n, "x") for n in range(0, 35)] + [(None, "y")], "seq long, lo string")
-    assert sorted(r.seq for r in inc.rows_within(df, "seq", gaps, width=3).collect()) == [1, 2, 5, 6, 7, 8, 23, 24, 25, 26, 27, 28]
+    assert sorted(r.seq for r in inc.rows_within(df, "seq", gaps).collect()) == [1, 2, 5, 6, 7, 8, 23, 24, 25, 26, 27, 28]
     assert rows(inc.gaps_between(available.limit(0), done)) == []
 
 
-def test_changed_keys_treat_null_states_as_equal(spark):
-    now = spark.createDataFrame([("a", "1"), ("b", None), ("c", None), ("d", "4"), ("e", "5")], "path string, hash string")
-    was = spark.createDataFrame([("a", "1"), ("b", None), ("c", "3"), ("d", "x"), ("gone", "7")], "path string, hash string")
-    assert rows(inc.changed_keys(now, was, "path", "hash")) == [("c", "changed"), ("d", "changed"), ("e", "new")]
-
-
 def test_ledger_processes_each_number_once_despite_failures_and_late_commits(spark, tmp_path):
     root = str(tmp_path / "job")
     ledger = inc.IntervalLedger(spark, root)
@@ -61,19 +73,22 @@ def test_ledger_processes_each_number_once_despite_failures_and_late_commits(spa
     # 5 is committed late, 8 was lost before: both are gaps now
     assert ledger.run(source([1, 2, 3, 5, 7, 8]), "seq", lambda df: df) == 2
     assert sorted(r.row for r in ledger.output().collect()) == ["r1", "r2", "r3", "r5", "r7", "r8"]
-    assert ledger.state()["intervals"] == [[1, 3], [5, 5], [7, 8]]
+    assert rows(ledger.processed()) == [(1, 3), (5, 5), (7, 8)]
     assert ledger.run(source([1, 2, 3, 5, 7, 8]), "seq", lambda df: df) == 2
     # a racing run that read the same state cannot commit over it
     with pytest.raises(Exception):  # noqa: B017
-        ledger._commit(2, {"intervals": [], "batches": []})
+        ledger._commit(2, "none", [])
     assert len(ledger.output().collect()) == 6
 
 
-def test_many_gaps_use_the_join(spark, tmp_path):
+def test_many_gaps_and_adopted_intervals(spark, tmp_path):
     ledger = inc.IntervalLedger(spark, str(tmp_path / "many"))
     df = spark.createDataFrame([(n,) for n in range(0, 400, 2)], "seq long")
     pending, gaps = ledger.pending(df, "seq")
-    assert len(gaps) == 200 and pending.count() == 200
+    assert gaps.count() == 200 and pending.count() == 200
+    assert ledger.adopt(spark.createDataFrame([(0, 99), (200, 399)], "lo long, hi long")) == 1 and ledger.output() is None
+    assert ledger.run(df, "seq", lambda x: x) == 2
+    assert sorted(r.seq for r in ledger.output().collect()) == list(range(100, 200, 2))
 
 
 def file_tables(spark, tables, nodes, meta, tasks):
