@@ -1,6 +1,6 @@
 """The k most similar vectors of every vector, and search in the resulting graph.
 
-NN-descent: a coarse first graph comes from two random sign codes (rows sorted
+NN-descent: a coarse first graph comes from one random sign code (rows sorted
 by code are compared with the few next to them), then rounds of Spark joins
 introduce the neighbours of every vector to each other and keep what is better.
 Only entries that are new since the last round start a comparison, and a vector
@@ -33,12 +33,12 @@ from ..session import cut
 # --- parameters ---
 
 NEIGHBOURS = 10  # length of the lists
-CODES = 2  # independent sign codes of the first graph
+CODES = 1  # independent sign codes of the first graph
 FRESH_CODES = 1  # further codes in every round
 FRESH_LISTS = 4  # entries a fresh code may offer a vector
 CODE_BITS = 32
 WINDOW = 24  # rows after its own that a row is compared with in the order of a code
-ROUNDS = 4
+ROUNDS = 5
 FANOUT = 7  # neighbours a vector introduces itself to in a round
 GROUP_BLOCK = 96  # vectors compared at once around one centre
 GROUP_TASK = 4096  # guests of one centre that one task takes
