@@ -5,7 +5,7 @@ by code are compared with the few next to them), then rounds of Spark joins
 introduce the neighbours of every vector to each other and keep what is better.
 Only entries that are new since the last round start a comparison, and a vector
 whose neighbours are all old gathers none. Every round also lays the vectors
-out by one fresh code: that hands the descent a way into groups so small that
+out by fresh codes: that hands the descent a way into groups so small that
 no neighbour of a neighbour leads there. Vectors travel as half floats; who
 meets whom is decided by ids. Groups are cut into blocks, so no crowded code
 and no hub is compared in one piece; what a cut parts, another round brings
@@ -34,12 +34,12 @@ from ..session import cut
 
 NEIGHBOURS = 10  # length of the lists
 CODES = 1  # independent sign codes of the first graph
-FRESH_CODES = 1  # further codes in every round
+FRESH_CODES = 2  # further codes in every round
 FRESH_LISTS = 4  # entries a fresh code may offer a vector
 CODE_BITS = 32
 WINDOW = 24  # rows after its own that a row is compared with in the order of a code
-ROUNDS = 5
-FANOUT = 7  # neighbours a vector introduces itself to in a round
+ROUNDS = 4
+FANOUT = 5  # neighbours a vector introduces itself to in a round
 GROUP_BLOCK = 96  # vectors compared at once around one centre
 GROUP_TASK = 4096  # guests of one centre that one task takes
 LEAST_GAIN = 0.002  # rounds end when fewer list entries than this share are new
