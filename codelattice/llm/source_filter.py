@@ -25,6 +25,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # --- fixed values: path rules ---
 
 VENDORED_DIRECTORIES = [
@@ -59,7 +61,7 @@ NOTICES = [
     "generated by", "do not edit", "do not modify", "ne pas modifier", "nicht bearbeiten", "no modificar", "編集しないでください",
 ]
 # said about something else than the file itself
-NOT_NOTICES = ["unlike the generated", "kept by hand", "generated by the", "are generated by", "them in place", "generated client", "generated files", "not generated", "files the build has generated"]
+NOT_NOTICES = ["unlike the generated", "kept by hand", "are generated by", "generated client", "generated files", "not generated"]
 WEAK_NOTICES = ["generated by", "do not edit", "do not modify"]
 BANNERS = [
     "upstream copy", "imported from", "vendored from", "copied from upstream", "bundled from", "contributors | mit", "contributors | bsd", "contributors | apache",
@@ -105,7 +107,7 @@ def path_reason(path: str) -> str | None:
     for folder in folders:
         if folder in VENDORED_DIRECTORIES:
             return "vendored"
-        if re.match(VERSIONED_DIRECTORY, folder) and not re.fullmatch(r"[a-z]+-[a-z]+-\d{5}", folder):
+        if re.match(VERSIONED_DIRECTORY, folder):
             return "vendored"
     if re.search(MINIFIED_NAME, name):
         return "minified"
@@ -157,7 +159,7 @@ def notice_reason(header: list[str], machine) -> tuple[str | None, bool]:
             if notices - set(WEAK_NOTICES) or len(notices) > 1 or low.lstrip("/#*- ").startswith(("generated by", "do not")):
                 return "generated", False
         banners = hits.intersection(BANNERS)
-        if banners and (banners.intersection(STRONG_BANNERS) or (re.search(VERSION_IN_BANNER, low) and "the graph authors" not in low)):
+        if banners and (banners.intersection(STRONG_BANNERS) or re.search(VERSION_IN_BANNER, low)):
             third = True
     return ("vendored", True) if third else (None, False)
 
@@ -238,7 +240,7 @@ def _judge_batches(batches: Iterator) -> Iterator:
 def classify_sources(files: DataFrame, path: str = "file_path", language: str = "language", content: str = "content") -> DataFrame:
     """``path, reason`` of every file that is not hand-written; reasons are lockfile, vendored, copied, minified, generated and data."""
     texts = files.filter(F.col(path).isNotNull()).select(F.col(path).alias("p"), F.col(language).alias("l"), F.col(content).alias("c"))
-    judged = texts.mapInArrow(_judge_batches, REASONS).filter(~F.col("prose"))
+    judged = cut(texts.mapInArrow(_judge_batches, REASONS).filter(~F.col("prose")))  # texts are read once; what goes on is narrow
     # a digest is foreign if any of its files is; one flag per digest, folded before the exchange
     foreign = judged.filter(F.col("third_party") & F.col("digest").isNotNull()).select(F.col("digest").alias("_digest")).distinct()
     told = judged.join(foreign, F.col("digest") == F.col("_digest"), "left")
