@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import aggregates, components, lookup, ranking, search, traversal
+from .operators import aggregates, components, lookup, ranking, search, textindex, traversal
 from .plans import architecture, changes, refactoring
 from .schema import current_edges, current_nodes
 
@@ -28,6 +28,7 @@ class Graph:
     edges: DataFrame
     vectors: DataFrame | None = None
     sources: DataFrame | None = None
+    index: textindex.TextIndex | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Graph:
@@ -61,7 +62,7 @@ def query_graph(g: Graph, pattern: str, target: str, depth: int = 1, import_kind
 def search_nodes(g: Graph, query: str, kind: str | None = None, limit: int = 20) -> dict:
     limit = min(limit, ROW_LIMIT)
     nodes = g.nodes.filter(F.col("kind") == kind) if kind else g.nodes
-    hits, mode = search.fts_search(search.node_fields(nodes), "id", search.FIELD_WEIGHTS, query, limit)
+    hits, mode = search.fts_search(g.index if g.index is not None and not kind else search.FrameIndex(search.node_fields(nodes), "id", search.FIELD_WEIGHTS), query, limit)
     if hits.isEmpty():
         return {"mode": "keyword", "rows": search.keyword_search(nodes, query, limit)}
     named = hits.join(nodes.select(F.col("id").alias("_id"), "qualified_name", "kind"), F.col("doc") == F.col("_id"))

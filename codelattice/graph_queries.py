@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths, text
-from .operators import adjacency, aggregates, components, lookup, ranking, search, traversal
+from .operators import adjacency, aggregates, components, lookup, ranking, search, textindex, traversal
 from .schema import EDGES_CTE, NODES_CTE, TIER_SQL, current_edges, current_nodes
-from .session import load
+from .session import ensure_checkpoint_dir, load
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -506,23 +508,48 @@ def directory_communities(spark, d):
 # --- search ------------------------------------------------------------------------------------
 
 
-_TERMS = "regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1)"
+_TERMS = f"""list_concat(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1), flatten(list_transform(regexp_extract_all(coalesce(text, ''), '([{textindex.WIDE}]+)', 1),
+  lambda r: CASE WHEN length(r) < 2 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END)))"""
 _BM25 = f"""t AS (SELECT doc_id doc, unnest({_TERMS}) term FROM documents), p AS (SELECT term, doc, count(*) tf FROM t GROUP BY ALL),
 l AS (SELECT doc, sum(tf) dl FROM p GROUP BY doc), tot AS (SELECT count(*) n_docs, sum(dl) sum_dl FROM l)"""
 
 
+def document_index(spark, d) -> textindex.TextIndex:
+    """The stored index of the texts of ``documents``; built if there is none of the present files."""
+    root = f"{ensure_checkpoint_dir(spark)}/search/documents-{textindex.files_fingerprint(spark, f'{d}/documents.parquet')}"
+    index = textindex.TextIndex(spark, root, "doc_id", {"text": 1}, "repo")
+    if not index.segments():
+        index.build(load(spark, d, "documents"))
+    return index
+
+
+def node_index(spark, d) -> textindex.TextIndex:
+    """The stored index of the current nodes; built if there is none of the present files."""
+    root = f"{ensure_checkpoint_dir(spark)}/search/nodes-{textindex.files_fingerprint(spark, f'{d}/nodes.parquet')}"
+    index = textindex.TextIndex(spark, root, "id", search.FIELD_WEIGHTS, "file_path")
+    if not index.segments():
+        index.build(search.node_fields(current_nodes(spark, d)))
+    return index
+
+
 @query(f"""WITH {_BM25}, h AS (SELECT p.*, count(*) OVER (PARTITION BY term) df FROM p WHERE term IN ('planner', 'stale', 'queue')),
 s AS (SELECT h.doc, sum(floor(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl * n_docs / sum_dl)) * 1000000 + 0.5)::BIGINT)::BIGINT score FROM h JOIN l ON h.doc = l.doc, tot GROUP BY h.doc)
 SELECT doc AS doc_id, score FROM s ORDER BY score DESC, doc LIMIT 20""")
 def bm25_topk(spark, d):
-    index = search.build_index(load(spark, d, "documents"), "doc_id", {"text": 1})
-    return search.bm25(*index, search.plan_query("planner stale queue")[0], 20).withColumnRenamed("doc", "doc_id")
+    return search.bm25(document_index(spark, d), search.plan_query("planner stale queue")[0], 20).withColumnRenamed("doc", "doc_id")
+
+
+@query(f"""WITH {_BM25}, h AS (SELECT p.*, count(*) OVER (PARTITION BY term) df FROM p WHERE term IN ('索引', '引は')),
+s AS (SELECT h.doc, count(*) n, sum(floor(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl * n_docs / sum_dl)) * 1000000 + 0.5)::BIGINT)::BIGINT score FROM h JOIN l ON h.doc = l.doc, tot GROUP BY h.doc)
+SELECT doc AS doc_id, score FROM s WHERE n = 2 ORDER BY score DESC, doc LIMIT 20""")
+def japanese_search(spark, d):
+    """Texts with all pairs of characters of a Japanese phrase."""
+    return search.bm25(document_index(spark, d), textindex.query_terms("索引は"), 20, require_all=True).withColumnRenamed("doc", "doc_id")
 
 
 @query(f"WITH {_BM25} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term")
 def term_statistics(spark, d):
-    posted = search.postings(load(spark, d, "documents"), "doc_id", {"text": 1})
-    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return document_index(spark, d).postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"WITH {NODES_CTE} SELECT id, qualified_name, CASE WHEN lower(name) = 'read' THEN 3 WHEN starts_with(lower(name), 'read') THEN 2 ELSE 1 END + CASE WHEN lower(name) = 'graph' THEN 3 WHEN starts_with(lower(name), 'graph') THEN 2 ELSE 1 END AS score FROM n WHERE contains(lower(name), 'read') AND contains(lower(name), 'graph') ORDER BY score DESC, id LIMIT 25")
@@ -544,8 +571,7 @@ def hybrid_search(spark, d):
     """Text and vector arms over the nodes, fused and boosted."""
     n = current_nodes(spark, d)
     asked = "read graph"
-    docs = search.node_fields(n)
-    hits, _ = search.fts_search(docs, "id", search.FIELD_WEIGHTS, asked, 60)
+    hits, _ = search.fts_search(node_index(spark, d), asked, 60)
     text_hits = search.ranked_hits(hits.withColumnRenamed("doc", "id"), "score", "id").select("id", "position")
     vectors = load(spark, d, "node_vectors").filter("provider = 'alder-mini#signature' AND vector IS NOT NULL AND size(vector) = 96").dropDuplicates(["qualified_name"])
     best = vectors.join(n.select(F.col("qualified_name").alias("_q"), "id"), F.col("qualified_name") == F.col("_q"))
@@ -554,7 +580,24 @@ def hybrid_search(spark, d):
     return search.hybrid_search(n, text_hits, vector_hits, asked, 20)
 
 
-@query(f"WITH {NODES_CTE} SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM n) AS n_indexed, 'fresh' AS status")
+@query(f"WITH {NODES_CTE} SELECT (SELECT count(DISTINCT id) FROM n) AS n_nodes, (SELECT count(DISTINCT id) FROM n) AS n_indexed, 0 AS n_missing, 0 AS n_orphaned, 'fresh' AS status")
 def index_health(spark, d):
+    """Whether the stored index holds exactly the current nodes."""
+    return node_index(spark, d).health(current_nodes(spark, d))
+
+
+_SYNCED = "file_path IN (SELECT file_path FROM n WHERE kind = 'File' AND language = 'python')"
+
+
+@query(f"""WITH {NODES_CTE}, s AS (SELECT DISTINCT id, {_SYNCED} AS dropped FROM n)
+SELECT count(*)::BIGINT AS n_nodes, count(*) FILTER (NOT coalesce(dropped, false))::BIGINT AS n_indexed, count(*) FILTER (coalesce(dropped, false))::BIGINT AS n_missing, 0 AS n_orphaned,
+CASE WHEN count(*) FILTER (coalesce(dropped, false)) > 0 THEN 'stale' ELSE 'fresh' END AS status FROM s""")
+def index_sync(spark, d):
+    """Health of an index after the files of one language were synced away: their nodes are missing until they are synced again."""
     n = current_nodes(spark, d)
-    return search.index_health(n, search.postings(search.node_fields(n), "id", search.FIELD_WEIGHTS))
+    root = f"{ensure_checkpoint_dir(spark)}/search/synced-{textindex.files_fingerprint(spark, f'{d}/nodes.parquet')}-{uuid.uuid4().hex}"
+    index = textindex.TextIndex(spark, root, "id", search.FIELD_WEIGHTS, "file_path")
+    docs = search.node_fields(n)
+    index.build(docs)
+    index.sync(docs.limit(0), n.filter("kind = 'File' AND language = 'python'").select(F.col("file_path").alias("key")))
+    return index.health(n)

@@ -95,36 +95,51 @@ def short_cycles(links: DataFrame, max_length: int = 3) -> DataFrame:
     return found
 
 
-def bounded_simple_cycles(names: list[str], edges: list[tuple[int, int]], min_size: int = 2, max_length: int = 10, max_cycles: int = 200, max_steps: int = 500_000) -> tuple[list[list[str]], bool]:
-    """Simple cycles of one small graph in a fixed order, and whether a bound cut the search short.
+def circuits(arcs: list[tuple[str, str]], max_cycles: int, max_steps: int) -> tuple[list[list[str]], bool]:
+    """Simple cycles of one graph by Johnson's algorithm, each from its smallest node, and whether a bound ended the search.
 
-    Nodes are tried in the order of their names; a cycle starts at its smallest.
+    A node is blocked while no cycle through it can close; when one closes,
+    the nodes that wait for it are freed. So every cycle costs at most one
+    pass over the arcs, also where dead ends abound.
     """
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    rank = {v: i for i, v in enumerate(order)}
-    after: dict[int, list[int]] = {}
-    for a, b in sorted(set(edges), key=lambda e: (rank[e[0]], rank[e[1]])):
-        after.setdefault(a, []).append(b)
-    cycles, steps = [], 0
-    for start in order:
-        trail, on_trail, pending = [start], {start}, [iter(after.get(start, []))]
-        while pending:
+    heads: dict[str, list[str]] = {}
+    for a, b in sorted(set(arcs)):
+        heads.setdefault(a, []).append(b)
+    found: list[list[str]] = []
+    steps = 0
+    for root in sorted(heads):
+        blocked, waits = {root}, {}
+        # a frame: node, the heads still to try, whether a cycle closed below it
+        stack = [[root, (h for h in heads[root] if h >= root), False]]
+        while stack:
+            node, todo, _ = stack[-1]
             steps += 1
             if steps > max_steps:
-                return cycles, True
-            nxt = next(pending[-1], None)
-            if nxt is None:
-                pending.pop()
-                on_trail.discard(trail.pop())
-            elif nxt == start and len(trail) >= min_size:
-                if len(cycles) == max_cycles:
-                    return cycles, True
-                cycles.append([names[i] for i in trail])
-            elif nxt not in on_trail and rank[nxt] > rank[start] and len(trail) < max_length:
-                trail.append(nxt)
-                on_trail.add(nxt)
-                pending.append(iter(after.get(nxt, [])))
-    return cycles, False
+                return found, True
+            head = next(todo, None)
+            if head is None:
+                closed = stack.pop()[2]
+                if closed:
+                    free = [node]
+                    while free:
+                        freed = free.pop()
+                        blocked.discard(freed)
+                        free += waits.pop(freed, ())
+                    if stack:
+                        stack[-1][2] = True
+                else:
+                    for h in heads.get(node, ()):
+                        if h >= root:
+                            waits.setdefault(h, set()).add(node)
+            elif head == root:
+                if len(found) == max_cycles:
+                    return found, True
+                found.append([frame[0] for frame in stack])
+                stack[-1][2] = True
+            elif head not in blocked:
+                blocked.add(head)
+                stack.append([head, (h for h in heads.get(head, ()) if h >= root), False])
+    return found, False
 
 
 def arcs_within(links: DataFrame, components: DataFrame) -> DataFrame:
@@ -143,9 +158,7 @@ def simple_cycles(links: DataFrame, components: DataFrame, max_cycles: int = 200
     def search(pdf):
         import pandas as pd
 
-        names = sorted({*pdf["src"], *pdf["dst"]})
-        at = {x: i for i, x in enumerate(names)}
-        cycles, truncated = bounded_simple_cycles(names, [(at[a], at[b]) for a, b in zip(pdf["src"], pdf["dst"])], max_length=len(names), max_cycles=max_cycles, max_steps=max_steps)
+        cycles, truncated = circuits(list(zip(pdf["src"], pdf["dst"])), max_cycles, max_steps)
         told = [(len(x), " > ".join(x)) for x in cycles] or [(None, None)]
         out = pd.DataFrame([(pdf["component"].iloc[0], *x, truncated) for x in told], columns=["component", "length", "path", "truncated"])
         return out.astype({"length": "Int64"})

@@ -13,6 +13,24 @@ FUNCTION_LINES, FUNCTION_BRANCHES, FUNCTION_CALLS = 60, 12, 22
 CLASS_LINES, CLASS_BRANCHES, CLASS_ALONE = 120, 20, 250
 CONCERN_LIMIT_PPM = 650_000
 
+# fixed values: how measures of a function add up to its concern score, what is said about it, and its role.
+# A measure counts from `above` on and is full `span` later; groups and the score end at 1.
+CONCERN_MEASURES = [  # group, measure, above, span, weight
+    ("responsibility", "n_communities", 1, 3.0, 0.35), ("responsibility", "n_scopes", 2, 5.0, 0.25), ("responsibility", "n_branches", 0, 12.0, 0.2), ("responsibility", "n_calls", 0, 22.0, 0.2),
+    ("effects", "n_side_effects", 0, 4.0, 1.0),
+    ("context", "n_params", 4, 4.0, 0.45), ("context", "n_flags", 0, 2.0, 0.25), ("context", "n_open", 0, 1.0, 0.2), ("context", "n_vague", 0, 1.0, 0.1),
+    ("mixture", "n_mixed", 0, 1.0, 1.0),
+]
+CONCERN_GROUPS = {"responsibility": 0.45, "effects": 0.25, "context": 0.3, "mixture": 0.1}
+CONCERN_REASONS = {  # any of the measures that reaches its bound gives the reason
+    "many_callee_communities": {"n_communities": 3}, "many_callee_scopes": {"n_scopes": 5}, "branch_heavy": {"n_branches": FUNCTION_BRANCHES}, "many_collaborators": {"n_calls": FUNCTION_CALLS},
+    "side_effect_pressure": {"n_side_effects": 2}, "side_effect_mixed_with_decision_logic": {"n_mixed": 1}, "implicit_context": {"n_params": 6, "n_flags": 2}, "low_context_clarity": {"context": 0.5},
+}
+CONCERN_ROLES = [  # the first role whose measures all lie within their bounds
+    ("test_helper", {"in_tests": (1, None)}), ("boundary", {"at_boundary": (1, None)}), ("coordinator", {"coordinates": (1, None)}), ("boundary", {"n_side_effects": (2, None), "n_calls": (3, None)}),
+    ("transformer", {"n_side_effects": (None, 0), "n_branches": (None, 4), "n_calls": (None, 6)}), ("pure_candidate", {"n_side_effects": (None, 0), "context": (None, 0.3499999)}), ("unknown", {}),
+]
+
 # fixed values: what shows a side effect, an unclear name, a flag, a boundary and a coordinator
 SIDE_EFFECTS = {
     "filesystem_io": [".read_text(", ".write_text(", " open(", "path(", "std::fs", "fs::", "read_to_string", "write_all"],
@@ -92,52 +110,70 @@ def callee_scope(target: Column) -> Column:
     return F.when((target != "") & ~target.startswith("<"), shown)
 
 
-def concern_profiles(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """How many concerns every function mixes: ``score_ppm`` from responsibility, side effects and context, its reasons and role.
+def call_measures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``caller, n_calls, n_communities, n_scopes`` and a flag per side effect that a callee's name shows."""
+    home = nodes.filter("community_id IS NOT NULL").select(F.col("qualified_name").alias("_t"), "community_id")
+    calls = edges.filter("kind = 'CALLS'").select(F.col("source_qualified").alias("caller"), "target_qualified").join(home, F.col("target_qualified") == F.col("_t"), "left")
+    shown = {f"called_{k}": F.max(_any_of(F.lower("target_qualified"), p)) for k, p in SIDE_EFFECTS.items()}
+    counted = {"n_calls": F.count(F.lit(1)), "n_communities": F.count_distinct("community_id"), "n_scopes": F.count_distinct(callee_scope(F.col("target_qualified")))}
+    return calls.groupBy("caller").agg(*[c.alias(name) for name, c in {**counted, **shown}.items()])
+
 
-    Calls are folded to counts and flags per caller before they meet the spans.
+def text_measures(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """``function, n_branches`` and a flag per side effect that the function's lines show.
+
+    The spans of a file are gathered before they meet its text, so the text is
+    joined once per file and each function carries its own lines only.
     """
-    home = nodes.filter("community_id IS NOT NULL").select(F.col("qualified_name").alias("_t"), "community_id")
-    calls = edges.filter("kind = 'CALLS'").select("source_qualified", "target_qualified").join(home, F.col("target_qualified") == F.col("_t"), "left")
-    low = F.lower("target_qualified")
-    folded = calls.groupBy(F.col("source_qualified").alias("_s")).agg(
-        F.count(F.lit(1)).alias("n_calls"), F.count_distinct("community_id").alias("n_communities"), F.count_distinct(callee_scope(F.col("target_qualified"))).alias("n_scopes"),
-        *[F.max(_any_of(low, p)).alias(f"_call_{k}") for k, p in SIDE_EFFECTS.items()],
-    )
+    first, last = F.greatest(F.col("line_start"), F.lit(1)).cast("int"), F.col("line_end").cast("int")
+    spans = nodes.filter("kind = 'Function' AND line_start IS NOT NULL AND line_end IS NOT NULL").select("file_path", F.struct(F.col("qualified_name").alias("function"), first.alias("first"), last.alias("last")).alias("span"))
+    per_file = spans.groupBy("file_path").agg(F.collect_list("span").alias("spans"))  # the functions of one file
     text_of = sources.select(F.col("file_path").alias("_file"), F.split(F.translate("content", "\r", ""), "\n").alias("_lines"))
-    span = F.slice("_lines", F.greatest(F.col("line_start"), F.lit(1)).cast("int"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0)).cast("int"))
-    functions = nodes.filter("kind = 'Function'").join(text_of, F.col("file_path") == F.col("_file"), "left").withColumn("_span", F.coalesce(span, F.array().cast("array<string>")))
-    told = functions.join(folded, F.col("qualified_name") == F.col("_s"), "left").na.fill(0, ["n_calls", "n_communities", "n_scopes"]).withColumn("_text", F.lower(F.array_join("_span", "\n")))
-    sides = F.lit(0)
-    for k, p in SIDE_EFFECTS.items():
-        sides = sides + (_any_of(F.col("_text"), p) | F.coalesce(f"_call_{k}", F.lit(False))).cast("int")
-    names = text.parameter_list(F.col("params"))
-    flag = lambda n: F.lower(n).isin("flag", "flags") | F.exists(F.array(*[F.lit(p) for p in FLAG_PREFIXES]), lambda p: F.lower(n).startswith(p))
+    laid = per_file.join(text_of, F.col("file_path") == F.col("_file")).select(
+        F.explode(F.transform("spans", lambda x: F.struct(x["function"].alias("function"), F.slice("_lines", x["first"], F.greatest(x["last"] - x["first"] + 1, F.lit(0))).alias("lines")))).alias("f")
+    )
+    body = F.lower(F.array_join("f.lines", "\n"))
+    return laid.select("f.function", text.branch_lines(F.col("f.lines")).alias("n_branches"), *[_any_of(body, p).alias(f"shows_{k}") for k, p in SIDE_EFFECTS.items()])
+
+
+def weighted_groups(measures: list[tuple]) -> dict[str, Column]:
+    """Per group, the weighted sum of its measures, each taken from ``above`` over ``span`` and held within 0 and 1."""
+    sums: dict[str, Column] = {}
+    for group, measure, above, span, weight in measures:
+        share = F.least(F.greatest(F.col(measure) - above, F.lit(0)) / span, F.lit(1.0)) * weight
+        sums[group] = sums[group] + share if group in sums else share
+    return {group: F.least(total, F.lit(1.0)) for group, total in sums.items()}
+
+
+def within(bounds: dict[str, tuple]) -> Column:
+    test = F.lit(True)
+    for measure, (low, high) in bounds.items():
+        test = test & (F.col(measure) >= low if low is not None else F.lit(True)) & (F.col(measure) <= high if high is not None else F.lit(True))
+    return test
+
+
+def concern_profiles(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """How many concerns every function mixes: ``score_ppm`` by the table of measures, its reasons and role."""
+    functions = nodes.filter("kind = 'Function'")
+    told = functions.join(call_measures(nodes, edges), F.col("qualified_name") == F.col("caller"), "left").join(text_measures(nodes, sources), F.col("qualified_name") == F.col("function"), "left")
+    told = told.na.fill(0, ["n_calls", "n_communities", "n_scopes", "n_branches"])
+    either = [F.coalesce(F.col(f"called_{k}"), F.lit(False)) | F.coalesce(F.col(f"shows_{k}"), F.lit(False)) for k in SIDE_EFFECTS]
+    names, number = text.parameter_list(F.col("params")), lambda test: F.coalesce(test, F.lit(False)).cast("int")
+    flags = F.filter(names, lambda n: F.lower(n).rlike("^(flags?$|" + "|".join(FLAG_PREFIXES) + ")"))
+    path = F.concat(F.lit("/"), F.translate("file_path", "\\", "/"))
     told = told.select(
-        "qualified_name", "name", "file_path", "n_calls", "n_communities", "n_scopes", sides.alias("n_side_effects"), text.branch_lines(F.col("_span")).alias("n_branches"), F.size(names).alias("n_params"),
-        F.size(F.filter(names, flag)).alias("n_flags"), ((F.coalesce("return_type", F.lit("")) == "") & (F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0)) >= FUNCTION_LINES)).alias("_open"),
-        F.lower("name").isin(AMBIGUOUS_NAMES).alias("_vague"),
-    )
-    part = lambda value, limit: F.least(F.greatest(value, F.lit(0)) / limit, F.lit(1.0))
-    c = F.col
-    responsibility = F.least(part(c("n_communities") - 1, 3.0) * 0.35 + part(c("n_scopes") - 2, 5.0) * 0.25 + part(c("n_branches"), 12.0) * 0.2 + part(c("n_calls"), 22.0) * 0.2, F.lit(1.0))
-    context = F.least(part(c("n_params") - 4, 4.0) * 0.45 + part(c("n_flags"), 2.0) * 0.25 + F.when(c("_open"), 0.2).otherwise(0.0) + F.when(c("_vague"), 0.1).otherwise(0.0), F.lit(1.0))
-    mixed = (c("n_side_effects") > 0) & ((c("n_branches") >= FUNCTION_BRANCHES) | (c("n_calls") >= FUNCTION_CALLS))
-    score = F.least(responsibility * 0.45 + part(c("n_side_effects"), 4.0) * 0.25 + context * 0.3 + F.when(mixed, 0.1).otherwise(0.0), F.lit(1.0))
-    rules = [
-        (c("n_communities") >= 3, "many_callee_communities"), (c("n_scopes") >= 5, "many_callee_scopes"), (c("n_branches") >= FUNCTION_BRANCHES, "branch_heavy"), (c("n_calls") >= FUNCTION_CALLS, "many_collaborators"),
-        (c("n_side_effects") >= 2, "side_effect_pressure"), (mixed, "side_effect_mixed_with_decision_logic"), ((c("n_params") >= 6) | (c("n_flags") >= 2), "implicit_context"), (context >= 0.5, "low_context_clarity"),
-    ]
-    path, low_name = F.concat(F.lit("/"), F.translate("file_path", "\\", "/")), F.lower("name")
-    role = (
-        F.when(path.contains("/tests/") | path.contains("/__tests__/"), "test_helper").when(_any_of(path, BOUNDARY_PARTS), "boundary").when(low_name.rlike("^(" + "|".join(COORDINATOR_PREFIXES) + ")"), "coordinator")
-        .when((c("n_side_effects") >= 2) & (c("n_calls") >= 3), "boundary").when((c("n_side_effects") == 0) & (c("n_branches") <= 4) & (c("n_calls") <= 6), "transformer")
-        .when((c("n_side_effects") == 0) & (context < 0.35), "pure_candidate").otherwise("unknown")
+        "qualified_name", "n_calls", "n_communities", "n_scopes", "n_branches", F.size(names).alias("n_params"), F.size(flags).alias("n_flags"), F.size(F.filter(F.array(*either), lambda x: x)).alias("n_side_effects"),
+        number((F.coalesce("return_type", F.lit("")) == "") & (F.col("line_end") - F.col("line_start") + 1 >= FUNCTION_LINES)).alias("n_open"), number(F.lower("name").isin(AMBIGUOUS_NAMES)).alias("n_vague"),
+        number(_any_of(path, ["/tests/", "/__tests__/"])).alias("in_tests"), number(_any_of(path, BOUNDARY_PARTS)).alias("at_boundary"), number(F.lower("name").rlike("^(" + "|".join(COORDINATOR_PREFIXES) + ")")).alias("coordinates"),
     )
+    told = told.withColumn("n_mixed", number((F.col("n_side_effects") > 0) & ((F.col("n_branches") >= FUNCTION_BRANCHES) | (F.col("n_calls") >= FUNCTION_CALLS))))
+    told = told.withColumns(weighted_groups(CONCERN_MEASURES))
+    score = F.least(sum((F.col(group) * weight for group, weight in CONCERN_GROUPS.items()), F.lit(0.0)), F.lit(1.0))
+    reasons = [F.when(F.greatest(*[number(F.col(m) >= least) for m, least in bounds.items()], F.lit(0)) > 0, reason) for reason, bounds in CONCERN_REASONS.items()]
+    role = F.coalesce(*[F.when(within(bounds), name) for name, bounds in CONCERN_ROLES])
     return told.select(
-        "qualified_name", "n_calls", "n_communities", "n_scopes", "n_side_effects", "n_branches", "n_params", "n_flags", F.floor(score * 1_000_000 + 0.5).cast("long").alias("score_ppm"),
-        F.concat_ws(",", *[F.when(test, name) for test, name in rules]).alias("reasons"), role.alias("role"),
-    )
+        "qualified_name", "n_calls", "n_communities", "n_scopes", "n_side_effects", "n_branches", "n_params", "n_flags", F.floor(score * 1_000_000 + 0.5).cast("long").alias("score_ppm"), F.concat_ws(",", *reasons).alias("reasons"), role.alias("role")
+    )
 
 
 def split_candidates(metrics: DataFrame, edges: DataFrame, concerns: DataFrame | None = None) -> DataFrame:

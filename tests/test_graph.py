@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from codelattice.functions import paths, text
 from codelattice.operators import adjacency, aggregates, components, lookup, ranking, search, store, traversal
@@ -107,14 +109,27 @@ def test_components_cuts_and_cycles(spark):
     assert rows(components.component_cuts(weighted, components.strongly_connected(weighted))) == [("a", "b", "a", 1)]
     assert rows(components.short_cycles(df([("a", "b"), ("b", "c"), ("c", "a"), ("b", "a")]))) == [(2, "a > b"), (3, "a > b > c")]
     assert rows(components.two_cycles(weighted)) == [("a", "b", 3, 1)]
-    names = ["c", "a", "b"]
-    assert components.bounded_simple_cycles(names, [(1, 2), (2, 0), (0, 1), (2, 1)])[0] == [["a", "b"], ["a", "b", "c"]]
-    full = [(i, j) for i in range(5) for j in range(5) if i != j]
-    everything, cut_short = components.bounded_simple_cycles(list("abcde"), full)
+    assert sorted(components.circuits([("a", "b"), ("b", "c"), ("c", "a"), ("b", "a")], 200, 1000)[0]) == [["a", "b"], ["a", "b", "c"]]
+    full = [(i, j) for i in "abcde" for j in "abcde" if i != j]
+    everything, cut_short = components.circuits(full, 200, 500_000)
     assert len(everything) == 84 and not cut_short
-    first, cut_short = components.bounded_simple_cycles(list("abcde"), full, max_cycles=10)
-    assert first == everything[:10] and cut_short
-    assert len(components.bounded_simple_cycles(list("abcde"), full, max_length=2)[0]) == 10
+    first, cut_short = components.circuits(full, 10, 500_000)
+    assert first == everything[:10] and cut_short and components.circuits(full, 200, 20)[1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.tuples(st.sampled_from("abcdef"), st.sampled_from("abcdef")).filter(lambda x: x[0] != x[1]), max_size=16))
+def test_circuits_against_all_permutations(arcs):
+    from itertools import permutations
+
+    nodes = sorted({x for a in arcs for x in a})
+    want = set()
+    for n in range(2, len(nodes) + 1):
+        for p in permutations(nodes, n):
+            if p[0] == min(p) and all((a, b) in arcs for a, b in zip(p, p[1:] + p[:1])):
+                want.add(p)
+    got, cut_short = components.circuits(list(arcs), 10_000, 1_000_000)
+    assert set(map(tuple, got)) == want and len(got) == len(want) and not cut_short
 
 
 def test_communities(spark):
@@ -137,13 +152,33 @@ def test_ranks(spark):
     assert out["a"]["kept"] >= out["b"]["kept"] and out["b"]["total"] == 100
 
 
+def test_stored_index_is_synced_by_owner_and_reads_japanese(spark, tmp_path):
+    from codelattice.operators import textindex
+
+    docs = spark.createDataFrame([(1, "a.py", "the graph store"), (2, "b.py", "graph graph rows"), (3, "b.py", None), (4, "c.md", "索引は変更を読む graph"), (5, None, "引")], "id long, file string, t string")
+    index = textindex.TextIndex(spark, str(tmp_path / "index"), "id", {"t": 1}, "file")
+    assert index.health(docs).first().status == "stale" and index.postings(["graph"]).count() == 0
+    assert index.build(docs) == 1
+    assert index.health(docs).first().status == "fresh"
+    ask = lambda q: [r.doc for r in search.fts_search(index, q, 5)[0].collect()]
+    assert sorted(ask("graph")) == [1, 2, 4] and ask("索引") == [4] and ask("変更を") == [4] and ask("引") == [5] and ask("nothing") == []
+    assert textindex.query_terms("Graph 索引は graph") == ["graph", "索引", "引は"]
+    stored, framed = search.bm25(index, ["graph", "rows"], 9), search.bm25(search.FrameIndex(docs, "id", {"t": 1}), ["graph", "rows"], 9)
+    assert rows(stored) == rows(framed)
+    newer = spark.createDataFrame([(2, "b.py", "rows only")], "id long, file string, t string")
+    assert index.sync(newer, spark.createDataFrame([("b.py",), ("a.py",)], "key string")) == 2
+    assert ask("graph") == [4] and ask("rows") == [2] and index.health(docs).first().n_missing == 2
+    two = textindex.term_rows(docs, "id", {"t": 1, "file": 2})[0]
+    assert sorted((r.term, r.tf, r.dl) for r in two.filter("id = 1" if "id" in two.columns else "doc = 1").collect()) == [("a", 2, 7), ("graph", 1, 7), ("py", 2, 7), ("store", 1, 7), ("the", 1, 7)]
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "the graph store keeps rows"), (2, "graph graph graph"), (3, "nothing here"), (4, None), (5, "store of rows and more rows")], "doc long, t string")
-    hits, mode = search.fts_search(docs, "doc", {"t": 1}, "graph store", 5)
+    hits, mode = search.fts_search(search.FrameIndex(docs, "doc", {"t": 1}), "graph store", 5)
     assert mode == "and" and [r.doc for r in hits.collect()] == [1]
-    hits, mode = search.fts_search(docs, "doc", {"t": 1}, "graph nowhere", 5)
+    hits, mode = search.fts_search(search.FrameIndex(docs, "doc", {"t": 1}), "graph nowhere", 5)
     assert mode == "or" and [r.doc for r in hits.collect()] == [2, 1]
-    assert search.fts_search(docs, "doc", {"t": 1}, "?!", 5)[1] == "none"
+    assert search.fts_search(search.FrameIndex(docs, "doc", {"t": 1}), "?!", 5)[1] == "none"
     assert search.plan_query("get the Parser state")[1] == "parser"
     assert [search.query_intent(q) for q in ("", "read_file", "usage of the cache", "reads the rows", "cache writer", "cache", "workflow")] == ["empty", "exact", "documentation", "process_pattern", "purpose", "exact", "purpose"]
     assert search.kind_boosts("Parser") == {"Class": 1.5, "Type": 1.5} and search.kind_boosts("a_b.c") == {"Function": 1.5, "_qualified": 2.0} and search.kind_boosts("HTTP") == {}
