@@ -91,7 +91,7 @@ HAN_SHARE = 0.04  # the same for particles among Chinese characters
 HANGUL_WORDS = 0.3  # the same for Korean words with an ending
 SYMBOL_LIMIT = 0.14  # share of code marks from which a line is no sentence
 LETTER_LEAST = 0.6  # share of letters a sentence has at least
-ROUNDS = 30
+ROUNDS = 12
 TOLERANCE = 1e-4
 VARIANCE_FLOOR = 0.2  # in squared standard deviations: a statistic most documents share exactly does not outweigh all others
 
