@@ -237,7 +237,8 @@ def mix(sized: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS, slots:
     plans = plan_sources(sums, wanted, block, slots)
     taken = mix_slots(spark, plans, seed).withColumnsRenamed({"source": "_source", "block": "_block"})
     pieces = source_pieces(used, block)
-    mixed = taken.join(pieces, (F.col("source") == F.col("_source")) & (F.col("block") == F.col("_block"))).select(
+    # both sides grow with the data: neither is sent to all
+    mixed = taken.join(pieces.hint("merge"), (F.col("source") == F.col("_source")) & (F.col("block") == F.col("_block"))).select(
         "shard", "slot", "source", "block", "pass_no", "doc", "doc_start", "piece_tokens"
     )
     mixed = cut(mixed)
