@@ -95,12 +95,12 @@ def edges_without_orphan_tests(spark, d):
 
 
 @query(f"""{WITH}, x AS (SELECT string_split(string_split(target_qualified, '::')[-1], '.')[-1] m, json_extract_string(extra, '$.external_package') p FROM e WHERE kind = 'CALLS' AND {EXTERNAL_SQL}),
-c AS (SELECT m, p, count(*) n FROM x WHERE p IS NOT NULL GROUP BY ALL) SELECT m AS method, p AS package, n, t AS total FROM (SELECT *, (sum(n) OVER (PARTITION BY m))::BIGINT t FROM c) WHERE t >= 3 AND n * 100 >= t * 80""")
+c AS (SELECT m, p, count(*) n FROM x WHERE p IS NOT NULL GROUP BY ALL) SELECT m AS method, p AS package, n, t AS total FROM (SELECT *, (sum(n) OVER (PARTITION BY m))::BIGINT t FROM c) WHERE t >= 2 AND n * 100 >= t * 90""")
 def observed_packages(spark, d):
     return passes.observed_packages(both(spark, d)[1])
 
 
-@query(f"""{WITH}, o AS (SELECT DISTINCT name FROM n WHERE kind IN ('Function', 'Class')) SELECT id, target_qualified FROM e WHERE kind = 'CALLS' AND target_qualified IN ({", ".join(f"'{k}'" for k in passes.STDLIB_METHODS)}) AND NOT {EXTERNAL_SQL} AND target_qualified NOT IN (SELECT name FROM o WHERE name IS NOT NULL)""")
+@query(f"""{WITH}, o AS (SELECT DISTINCT name FROM n WHERE kind IN ('Function', 'Class')) SELECT id, target_qualified FROM e WHERE kind = 'CALLS' AND target_qualified IN ({", ".join(f"'{k}'" for k in passes.stdlib_methods())}) AND NOT {EXTERNAL_SQL} AND target_qualified NOT IN (SELECT name FROM o WHERE name IS NOT NULL)""")
 def stdlib_calls(spark, d):
     marked = passes.mark_stdlib_calls(*both(spark, d))
     return marked.filter(F.get_json_object("extra", "$.stdlib") == "true").select("id", "target_qualified")

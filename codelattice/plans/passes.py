@@ -20,7 +20,20 @@ from ..session import cut, cut_union
 
 # fixed values
 DIRECT, INFERRED, UNRESOLVED = 0.9, 0.6, 0.2
-STDLIB_METHODS = {"append": "builtins", "extend": "builtins", "items": "builtins", "keys": "builtins", "values": "builtins", "strip": "builtins", "split": "builtins", "join": "builtins", "unwrap": "std", "expect": "std", "clone": "std", "to_string": "std", "collect": "std", "len": "builtins", "print": "builtins", "get": "builtins"}
+OTHER_METHODS = {  # by package, names of other languages' standard libraries
+    "std": ["unwrap", "expect", "clone", "to_string", "to_owned", "into", "as_str", "as_ref", "iter", "into_iter", "collect", "is_some", "is_none", "is_ok", "is_err", "map_err", "unwrap_or", "unwrap_or_default", "unwrap_or_else", "push_str", "Ok", "Err", "Some"],
+    "es": ["forEach", "indexOf", "includes", "slice", "splice", "concat", "reduce", "flatMap", "charCodeAt", "toLowerCase", "toUpperCase", "hasOwnProperty", "parseInt", "parseFloat", "then", "catch", "finally"],
+    "go": ["make", "cap", "copy", "panic", "recover", "Errorf", "Sprintf", "Println", "Printf"],
+}
+
+
+def stdlib_methods() -> dict[str, str]:
+    """Package by name: built-in functions and public methods of the built-in types, by what the running interpreter has, and ``OTHER_METHODS``."""
+    import builtins
+
+    kinds = [str, bytes, list, dict, set, tuple, int, float, frozenset]
+    names = {n for n in dir(builtins) if not n.startswith("_") and n[:1].islower()} | {n for k in kinds for n in dir(k) if not n.startswith("_")}
+    return {**{n: package for package, known in OTHER_METHODS.items() for n in known}, **{n: "builtins" for n in sorted(names)}}
 
 
 def is_bare(target: Column) -> Column:
@@ -156,7 +169,7 @@ def follow_reexports(nodes: DataFrame, edges: DataFrame, hops: int = 8) -> DataF
 
 def mark_stdlib_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Bare calls of names only the standard library has become external, MEDIUM."""
-    table = F.create_map(*[F.lit(x) for pair in STDLIB_METHODS.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in stdlib_methods().items() for x in pair])
     own = nodes.filter("kind IN ('Function', 'Class')").select(F.col("name").alias("_own")).distinct()
     package = F.try_element_at(table, F.col("target_qualified"))
     joined = edges.join(own, F.col("target_qualified") == F.col("_own"), "left")
@@ -167,7 +180,7 @@ def mark_stdlib_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ])
 
 
-def observed_packages(edges: DataFrame, least: int = 3, share_percent: int = 80) -> DataFrame:
+def observed_packages(edges: DataFrame, least: int = 2, share_percent: int = 90) -> DataFrame:
     """(method, package): the package that dominates the calls of a method name whose package is known."""
     known = edges.filter((F.col("kind") == "CALLS") & is_external()).select(text.endpoint_leaf(F.col("target_qualified")).alias("method"), F.get_json_object("extra", "$.external_package").alias("package")).filter("package IS NOT NULL")
     counted = known.groupBy("method", "package").agg(F.count(F.lit(1)).alias("n"))
@@ -266,19 +279,25 @@ def overlay_positions(edges: DataFrame, references: DataFrame, window: int = 8)
 
 
 Pass = Callable[[DataFrame, DataFrame], DataFrame]
-PASSES: list[tuple[str, Pass]] = [
-    ("bare_calls", bare_calls), ("bare_inheritance", bare_inheritance), ("foreign_members", link_foreign_members), ("terraform_references", terraform_references),
-    ("documentation_references", documentation_references), ("reexports", follow_reexports), ("stdlib_calls", mark_stdlib_calls),
-    ("orphan_tests", drop_orphan_tests), ("sync_tests", sync_tests_with_calls), ("demote", demote_unresolved),
-]
 
 
-def run_passes(nodes: DataFrame, edges: DataFrame, passes: list[tuple[str, Pass]] = PASSES) -> tuple[DataFrame, dict[str, int], list[str]]:
+def pass_list() -> list[tuple[str, Pass]]:
+    """The passes in their order: what is certain first, what is external next, demotion last."""
+    from . import receivers as r
+
+    return [
+        ("bare_calls", bare_calls), ("bare_inheritance", bare_inheritance), ("foreign_members", link_foreign_members), ("own_receivers", r.own_receivers), ("typed_receivers", r.typed_receivers), ("returned_receivers", r.returned_receivers),
+        ("package_members", r.package_members), ("variant_calls", r.variant_calls), ("terraform_references", terraform_references), ("documentation_references", documentation_references), ("reexports", follow_reexports),
+        ("deref_calls", r.deref_calls), ("glob_calls", r.glob_calls), ("stdlib_calls", mark_stdlib_calls), ("observed_calls", r.observed_calls), ("orphan_tests", drop_orphan_tests), ("sync_tests", sync_tests_with_calls), ("demote", demote_unresolved),
+    ]
+
+
+def run_passes(nodes: DataFrame, edges: DataFrame, passes: list[tuple[str, Pass]] | None = None) -> tuple[DataFrame, dict[str, int], list[str]]:
     """Apply the passes in order: edges, changed rows per pass, and warnings of passes that failed."""
     changed, warnings = {}, []
     current = cut(edges)
     shown = ["id", "source_qualified", "target_qualified", "confidence", "confidence_tier", "extra"]
-    for name, step in passes:
+    for name, step in passes or pass_list():
         try:
             after = cut(step(nodes, current))
             was = current.select(F.col("id").alias("_id"), F.xxhash64(*shown).alias("_h"))
