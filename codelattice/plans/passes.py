@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..schema import latest, tier
-from ..session import cut, cut_union
+from ..session import cut, cut_table, cut_union
 
 # fixed values
 DIRECT, INFERRED, UNRESOLVED = 0.9, 0.6, 0.2
@@ -295,11 +295,11 @@ def pass_list() -> list[tuple[str, Pass]]:
 def run_passes(nodes: DataFrame, edges: DataFrame, passes: list[tuple[str, Pass]] | None = None) -> tuple[DataFrame, dict[str, int], list[str]]:
     """Apply the passes in order: edges, changed rows per pass, and warnings of passes that failed."""
     changed, warnings = {}, []
-    current = cut(edges)
+    current = cut_table(edges)
     shown = ["id", "source_qualified", "target_qualified", "confidence", "confidence_tier", "extra"]
     for name, step in passes or pass_list():
         try:
-            after = cut(step(nodes, current))
+            after = cut_table(step(nodes, current))
             was = current.select(F.col("id").alias("_id"), F.xxhash64(*shown).alias("_h"))
             same = after.select("id", F.xxhash64(*shown).alias("h")).join(was, (F.col("id") == F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").count()
             changed[name] = current.count() - same

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..session import cut
+from ..session import cut, cut_table
 from .passes import DIRECT, INFERRED, is_bare, is_external, observed_packages, visible_files
 
 # fixed values: standard types a type may dereference to, and methods of a fallible result
@@ -129,7 +129,7 @@ def returned_receivers(nodes: DataFrame, edges: DataFrame, rounds: int = RETURN_
         bound = cut(answer_by_type(nodes, edges, asked))
         if bound.isEmpty():
             break
-        edges = cut(rebind(edges, bound))
+        edges = cut_table(rebind(edges, bound))
     return edges
 
 

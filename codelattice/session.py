@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,18 @@ def cut_union(df: DataFrame) -> DataFrame:
     return cut(df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and go on from its files.
+
+    A checkpoint keeps what the optimizer inferred about the columns. Where a
+    frame is rewritten by conditions again and again, that grows with every
+    step; a table forgets it.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucket_count(rows: int, rows_per_bucket: int, least: int = 8) -> int:
     """Number of buckets that keeps each of them near ``rows_per_bucket`` rows."""
     return max(least, math.ceil(rows / max(1, rows_per_bucket)))
