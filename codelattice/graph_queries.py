@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths, text
-from .operators import adjacency, aggregates, components, lookup, ranking, search, textindex, traversal
+from .operators import adjacency, aggregates, communities, components, lookup, ranking, search, textindex, traversal
 from .schema import EDGES_CTE, NODES_CTE, TIER_SQL, current_edges, current_nodes
 from .session import ensure_checkpoint_dir, load
 
@@ -490,11 +490,11 @@ def tie_weights(spark, d):
 
 
 @query()
-def label_communities(spark, d):
-    """Communities by label propagation over the ties between known nodes."""
+def modularity_communities(spark, d):
+    """Communities of high modularity over the ties between known nodes."""
     n, e = both(spark, d)
     known = n.select(F.col("qualified_name").alias("key"))
-    return components.label_communities(components.tie_weights(adjacency.edges_among(e, known)))
+    return communities.modularity_communities(components.tie_weights(adjacency.edges_among(e, known)))
 
 
 @query(f"""WITH {NODES_CTE}, m AS (SELECT qualified_name, string_split(file_path, '/') p FROM n WHERE kind <> 'File'),

@@ -254,26 +254,6 @@ def tie_weights(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("w").alias("w"))
 
 
-def label_communities(ties: DataFrame, rounds: int = 12) -> DataFrame:
-    """``node, community`` by weighted label propagation.
-
-    A node takes the label with the greatest weight among its neighbours, ties
-    to the smallest; only every other node (by hash and round) moves at once, so
-    labels do not swap forever. Weights are folded per (node, label) first.
-    """
-    both = cut(ties.select(F.col("a").alias("node"), F.col("b").alias("other"), "w").unionByName(ties.select(F.col("b").alias("node"), F.col("a").alias("other"), "w")))
-    labels = cut(both.select("node").distinct().withColumn("community", F.col("node")))
-    for r in range(rounds):
-        votes = both.join(labels.select(F.col("node").alias("_o"), "community"), F.col("other") == F.col("_o")).groupBy("node", "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("b")).select(F.col("node").alias("_n"), F.col("b.community").alias("_c"))
-        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        joined = cut(labels.join(best, F.col("node") == F.col("_n"), "left").select("node", F.when(turn, F.coalesce("_c", "community")).otherwise(F.col("community")).alias("community"), (F.col("_c") != F.col("community")).alias("restless")))
-        labels = joined.select("node", "community")
-        if joined.filter("restless").isEmpty():
-            break
-    return labels
-
-
 def directory_communities(nodes: DataFrame, min_size: int = 2, groups: int = 10, max_depth: int = 12) -> DataFrame:
     """``qualified_name, community``: directories at the smallest depth that yields ``groups`` groups of ``min_size``; else the deepest tried."""
     members = nodes.filter("kind <> 'File'").select("qualified_name", F.split("file_path", "/").alias("parts"))
@@ -282,14 +262,3 @@ def directory_communities(nodes: DataFrame, min_size: int = 2, groups: int = 10,
         if grouped.groupBy("community").count().filter(F.col("count") >= min_size).limit(groups).count() >= groups:
             break
     return grouped.select("qualified_name", "community")
-
-
-def split_oversized(ties: DataFrame, labels: DataFrame, share: float = 0.25, least: int = 10) -> DataFrame:
-    """Communities above ``share`` of all members (and ``least``) are clustered again on their own, named ``<community>-sub-<label>``."""
-    total = labels.count()
-    large = labels.groupBy("community").count().filter(F.col("count") > max(total * share, least)).select(F.col("community").alias("_large"))
-    inside = labels.join(large, F.col("community") == F.col("_large"), "left_semi")
-    a, b = inside.select(F.col("node").alias("_a"), F.col("community").alias("ca")), inside.select(F.col("node").alias("_b"), F.col("community").alias("cb"))
-    inner = ties.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).filter("ca = cb").select("a", "b", "w")
-    again = label_communities(inner, 2).select(F.col("node").alias("_n"), F.col("community").alias("_sub"))
-    return labels.join(again, F.col("node") == F.col("_n"), "left").select("node", F.when(F.col("_sub").isNotNull(), F.concat("community", F.lit("-sub-"), "_sub")).otherwise(F.col("community")).alias("community"))

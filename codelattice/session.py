@@ -50,9 +50,11 @@ def cut_union(df: DataFrame) -> DataFrame:
 def cut_table(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from its files.
 
-    A checkpoint keeps what the optimizer inferred about the columns. Where a
-    frame is rewritten by conditions again and again, that grows with every
-    step; a table forgets it.
+    A checkpoint keeps what the optimizer inferred about the columns and its
+    estimate of the size, which is a product over joins. Where a frame is
+    rewritten by conditions or joined with itself round after round, both grow
+    until planning takes longer than running; a table has neither, and its
+    size is the true one.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)

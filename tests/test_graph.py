@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from codelattice.functions import paths, text
-from codelattice.operators import adjacency, aggregates, components, lookup, ranking, search, store, traversal
+from codelattice.operators import adjacency, aggregates, communities, components, lookup, ranking, search, store, traversal
 from codelattice.plans import architecture, changes, passes, refactoring
 from conftest import rows
 from pyspark.sql import functions as F
@@ -133,10 +133,17 @@ def test_circuits_against_all_permutations(arcs):
 
 
 def test_communities(spark):
-    ring = [(f"{g}{i}", f"{g}{j}", 100) for g in "ab" for i in range(4) for j in range(i + 1, 4)] + [("a0", "b0", 30)]
+    ring = [(f"{g}{i}", f"{g}{j}", 100) for g in "abcdef" for i in range(4) for j in range(i + 1, 4)] + [(f"{g}0", f"{h}1", 30) for g, h in zip("abcdef", "bcdefa")]
     ties = spark.createDataFrame(ring, "a string, b string, w int")
-    labels = {r.node: r.community for r in components.label_communities(ties).collect()}
-    assert len({labels[f"a{i}"] for i in range(4)}) == 1 and len({labels[f"b{i}"] for i in range(4)}) == 1 and len(labels) == 8
+    found = communities.modularity_communities(ties)
+    labels = {r.node: r.community for r in found.collect()}
+    assert labels == {f"{g}{i}": f"{g}0" for g in "abcdef" for i in range(4)}
+    assert abs(communities.modularity(ties, found) - (36 * 100 / 3780 - 6 * (1260 / 7560) ** 2)) < 1e-9
+    assert communities.modularity_communities(ties.limit(0)).count() == 0
+    # a changed node: only its community is looked at again
+    more = ties.unionByName(spark.createDataFrame([("a0", "new", 100)], "a string, b string, w int"))
+    again = {r.node: r.community for r in communities.region_communities(more, found, spark.createDataFrame([("new",), ("a0",)], "key string")).collect()}
+    assert again["new"] == again["a0"] and {n: c for n, c in again.items() if n[0] not in "an"} == {n: c for n, c in labels.items() if n[0] != "a"}
     nodes = nodes_of(spark, [f"src/{g}/m{i}.py::f" for g in "abcdefghijk" for i in range(2)])
     assert components.directory_communities(nodes).select("community").distinct().count() == 11
 
