@@ -398,7 +398,7 @@ def entry_points(spark, d):
 
 
 @query(f"""{WITH_REC}, {_ENTRY}, stop AS (SELECT qualified_name k FROM en WHERE entry_kind IS NOT NULL UNION SELECT qualified_name FROM n WHERE kind = 'Test' OR is_test), r AS (SELECT DISTINCT target_qualified src, source_qualified dst FROM e WHERE kind = 'CALLS'),
-w AS (SELECT '{SEED_CALLEE}' k, 0 dep UNION SELECT r.dst, dep + 1 FROM w JOIN r ON r.src = w.k WHERE dep < 6 AND w.k NOT IN (SELECT k FROM stop))
+w AS (SELECT '{SEED_CALLEE}' k, 0 dep UNION SELECT r.dst, dep + 1 FROM w JOIN r ON r.src = w.k WHERE dep < 64 AND w.k NOT IN (SELECT k FROM stop))
 SELECT w.k AS entry, en.entry_kind, min(dep)::BIGINT AS hops FROM w JOIN en ON w.k = en.qualified_name WHERE en.entry_kind IS NOT NULL GROUP BY ALL""")
 def entries_reaching(spark, d):
     n, e = both(spark, d)

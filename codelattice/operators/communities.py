@@ -7,9 +7,8 @@ starting in the community it came from. So a community never falls apart into
 pieces without a tie, which plain moving allows.
 
 All nodes of a turn decide on the same state, and only those whose hash has the
-turn's parity move, so two nodes do not swap for ever; a phase ends when nobody
-wants to move, or when the number of those who do has found no new low for a
-few turns. Weights are folded per (node, community) before any decision, and a
+turn's parity move, so two nodes do not swap for ever; a phase ends when next to
+nobody wants to move, or when the number of those who do finds no new low. Weights are folded per (node, community) before any decision, and a
 community's total is one row, so no hub and no crowd is gathered.
 """
 
@@ -22,7 +21,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_table as cut
 
-PATIENCE = 3  # turns without a new low of restless nodes
+PATIENCE = 0  # turns without a new low of restless nodes that are waited for
+SETTLED = 0.01  # share of restless nodes at which a phase ends
+LEVEL_LEAST = 0.02  # levels end when one merges fewer nodes than this share
 RESOLUTION = 1.0
 REGION_LIMIT = 0.5  # share of nodes from which a partial run is a whole one
 
@@ -46,8 +47,8 @@ def _moves(both: DataFrame, strength: DataFrame, start: DataFrame, total: float,
         on_turn = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
         after = cut(best.select("node", F.when(wants & on_turn, F.col("b.community")).otherwise(F.col("own")).alias("community"), wants.alias("wants")))
         labels = after.select("node", "community")
-        restless = after.filter("wants").count()
-        if not restless:
+        restless, nodes = after.agg(F.count_if("wants"), F.count(F.lit(1))).first()
+        if restless <= SETTLED * nodes:
             return labels
         low, waited = (restless, 0) if low is None or restless < low else (low, waited + 1)
         if waited > PATIENCE:
@@ -79,7 +80,7 @@ def modularity_communities(ties: DataFrame, resolution: float = RESOLUTION) -> D
         left = members.select("node").distinct().count()
         whole = labels.join(parts.select(F.col("node").alias("_n"), F.col("community").alias("part")), F.col("node") == F.col("_n")).groupBy("part").agg(F.min("community").alias("community"))
         labels = cut(whole.select(F.col("part").alias("node"), "community"))
-        if left == n:
+        if left >= n * (1 - LEVEL_LEAST):
             break
         n = left
         p, q = parts.select(F.col("node").alias("_a"), F.col("community").alias("pa")), parts.select(F.col("node").alias("_b"), F.col("community").alias("pb"))

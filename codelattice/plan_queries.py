@@ -106,13 +106,19 @@ def stdlib_calls(spark, d):
     return marked.filter(F.get_json_object("extra", "$.stdlib") == "true").select("id", "target_qualified")
 
 
+def _hops_sql(hops: int) -> str:
+    """The steps of a name through imports, one pair of tables a hop: where it is looked for, and where it is found."""
+    parts = ["h1 AS (SELECT DISTINCT t, v a, string_split(t, '::')[-1] leaf FROM o JOIN vis ON string_split(t, '::')[1] = vis.f)"]
+    for i in range(1, hops + 1):
+        if i > 1:
+            parts.append(f"h{i} AS (SELECT DISTINCT t, v a, leaf FROM h{i - 1} JOIN vis ON h{i - 1}.a = vis.f WHERE t NOT IN (SELECT t FROM r{i - 1}))")
+        parts.append(f"r{i} AS (SELECT t, count(DISTINCT q) c, min(q) q FROM (SELECT t, a || '::' || leaf q FROM h{i}) WHERE q IN (SELECT * FROM k) GROUP BY t)")
+    return ", ".join(parts)
+
+
 @query(f"""{WITH}, k AS (SELECT qualified_name FROM n), vis AS (SELECT DISTINCT e.file_path f, n.file_path v FROM e JOIN n ON e.target_qualified = n.qualified_name WHERE e.kind = 'IMPORTS_FROM' AND e.file_path <> n.file_path),
-o AS (SELECT DISTINCT target_qualified t FROM e WHERE contains(target_qualified, '::') AND target_qualified NOT IN (SELECT * FROM k)),
-h1 AS (SELECT DISTINCT t, v a, string_split(t, '::')[-1] leaf FROM o JOIN vis ON string_split(t, '::')[1] = vis.f),
-r1 AS (SELECT t, count(DISTINCT q) c, min(q) q FROM (SELECT t, a || '::' || leaf q FROM h1) WHERE q IN (SELECT * FROM k) GROUP BY t),
-h2 AS (SELECT DISTINCT t, v a, leaf FROM h1 JOIN vis ON h1.a = vis.f WHERE t NOT IN (SELECT t FROM r1)),
-r2 AS (SELECT t, count(DISTINCT q) c, min(q) q FROM (SELECT t, a || '::' || leaf q FROM h2) WHERE q IN (SELECT * FROM k) GROUP BY t)
-SELECT e.id, r.q AS target_qualified FROM e JOIN (SELECT * FROM r1 UNION ALL SELECT * FROM r2) r ON e.target_qualified = r.t WHERE r.c = 1""")
+o AS (SELECT DISTINCT target_qualified t FROM e WHERE contains(target_qualified, '::') AND target_qualified NOT IN (SELECT * FROM k)), {_hops_sql(8)}
+SELECT e.id, r.q AS target_qualified FROM e JOIN ({" UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(1, 9))}) r ON e.target_qualified = r.t WHERE r.c = 1""")
 def reexported_targets(spark, d):
     n, e = both(spark, d)
     was = e.select(F.col("id").alias("_id"), F.col("target_qualified").alias("_was"))
@@ -222,8 +228,8 @@ def versions(spark, d):
     return shape(latest(before, ["qualified_name"], ["updated_at", "file_hash", "mtime_ns"])), shape(both(spark, d)[0])
 
 
-_VERSIONS = """b0 AS (SELECT qualified_name, kind, name, params, file_hash FROM (SELECT *, row_number() OVER (PARTITION BY qualified_name ORDER BY updated_at, coalesce(file_hash, '')) rk FROM nodes WHERE kind <> 'File') WHERE rk = 1 AND name NOT LIKE 'a%'),
-w0 AS (SELECT qualified_name, kind, name, params, file_hash FROM n WHERE kind <> 'File' AND name NOT LIKE 'b%'),
+_VERSIONS = f"""b0 AS (SELECT qualified_name, kind, name, params, file_hash FROM (SELECT *, row_number() OVER (PARTITION BY qualified_name ORDER BY updated_at DESC NULLS LAST, file_hash DESC NULLS LAST, mtime_ns DESC NULLS LAST) rk FROM nodes WHERE updated_at < {BASE_TIME}) WHERE rk = 1 AND kind <> 'File'),
+w0 AS (SELECT qualified_name, kind, name, params, file_hash FROM n WHERE kind <> 'File'),
 dl AS (SELECT coalesce(w0.qualified_name, b0.qualified_name) qualified_name, CASE WHEN b0.qualified_name IS NULL THEN 'added' WHEN w0.qualified_name IS NULL THEN 'removed' WHEN w0.params IS DISTINCT FROM b0.params THEN 'reshaped' WHEN w0.file_hash IS DISTINCT FROM b0.file_hash THEN 'edited' ELSE 'same' END status, coalesce(w0.name, b0.name) "name" FROM w0 FULL JOIN b0 ON w0.qualified_name = b0.qualified_name)"""
 
 
