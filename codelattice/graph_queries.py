@@ -573,7 +573,7 @@ def hybrid_search(spark, d):
     asked = "read graph"
     hits, _ = search.fts_search(node_index(spark, d), asked, 60)
     text_hits = search.ranked_hits(hits.withColumnRenamed("doc", "id"), "score", "id").select("id", "position")
-    vectors = load(spark, d, "node_vectors").filter("provider = 'alder-mini#signature' AND vector IS NOT NULL AND size(vector) = 96").dropDuplicates(["qualified_name"])
+    vectors = load(spark, d, "node_vectors").filter("provider = 'alder-mini#signature' AND vector IS NOT NULL AND size(vector) = 96").groupBy("qualified_name").agg(F.max("vector").alias("vector"))
     best = vectors.join(n.select(F.col("qualified_name").alias("_q"), "id"), F.col("qualified_name") == F.col("_q"))
     query_vector = best.agg(F.min_by("vector", "id")).first()[0]
     vector_hits = search.ranked_hits(search.cosine_top_k(best, "id", list(query_vector), 60), "similarity", "id").select("id", "position")

@@ -316,8 +316,8 @@ def newest_per_file(old: DataFrame, new: DataFrame, files: DataFrame) -> DataFra
 
 
 def collapse_duplicates(nodes: DataFrame) -> DataFrame:
-    """One node per qualified name of a file, the first by line."""
-    order = W.partitionBy("file_path", "qualified_name").orderBy(F.asc_nulls_last("line_start"), F.asc_nulls_last("line_end"))
+    """One node per qualified name of a file, the first by line; among equals, by a hash of the row."""
+    order = W.partitionBy("file_path", "qualified_name").orderBy(F.asc_nulls_last("line_start"), F.asc_nulls_last("line_end"), F.xxhash64(*nodes.columns))
     return nodes.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
 
 

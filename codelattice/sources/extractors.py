@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import LANGUAGE_OF_SUFFIX
@@ -306,4 +307,10 @@ def extract_files(files: DataFrame, path: str = "file_path", language: str = "la
 def nodes_and_edges(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = extracted.filter("row_type = 'node'").select("kind", "name", "qualified_name", "file_path", "line_start", "line_end", "language", "parent_name", "params", "return_type", "is_test", "extra")
     edges = extracted.filter("row_type = 'edge'").select("kind", "source_qualified", "target_qualified", F.element_at(F.split("target_qualified", "::"), -1).alias("target_name"), "file_path", "line", "extra")
-    return nodes.dropDuplicates(["qualified_name"]), edges.dropDuplicates(["kind", "source_qualified", "target_qualified", "file_path", "line"])
+    return first_of(nodes, ["qualified_name"]), first_of(edges, ["kind", "source_qualified", "target_qualified", "file_path", "line"])
+
+
+def first_of(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of every key, the same on every run: by a hash of the row."""
+    order = W.partitionBy(*keys).orderBy(F.xxhash64(*df.columns))
+    return df.withColumn("_first", F.row_number().over(order)).filter("_first = 1").drop("_first")

@@ -54,9 +54,16 @@ def stream_hourly_counts(spark, d):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(d)
     counted = stream.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
     name = f"hourly_{uuid.uuid4().hex}"
-    run = counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", watch.checkpoint_for(spark, name)).trigger(availableNow=True).start()
+    # each batch writes the whole state as a table; the last one holds the answer
+    place, written = f"{watch.checkpoint_for(spark, name)}-counts", []
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{place}/{number}")
+        written.append(number)
+
+    run = counted.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", watch.checkpoint_for(spark, name)).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{place}/{written[-1]}") if written else spark.createDataFrame([], counted.schema)
 
 
 @query("SELECT kind, min(id) AS id, max(priority) AS priority, count(*) AS n_merged FROM tasks WHERE state = 'pending' GROUP BY kind")
