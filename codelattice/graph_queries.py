@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import paths, text
 from .operators import adjacency, aggregates, communities, components, lookup, ranking, search, textindex, traversal
 from .schema import EDGES_CTE, NODES_CTE, TIER_SQL, current_edges, current_nodes
-from .session import ensure_checkpoint_dir, load
+from .session import cut_table, ensure_checkpoint_dir, load
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -477,7 +477,7 @@ def import_cycles(spark, d):
 @query()
 def import_cycle_cuts(spark, d):
     """Feedback arcs of every import component."""
-    links = file_links(spark, d)
+    links = cut_table(file_links(spark, d))
     return components.component_cuts(links, components.strongly_connected(links))
 
 

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, cut_union
+from ..session import cut_table as cut
+from ..session import cut_union
 
 # fixed values: how strongly an edge kind ties its ends into one community
 TIE_WEIGHTS = {"CALLS": 100, "INHERITS": 80, "IMPLEMENTS": 70, "DEPENDS_ON": 60, "CROSS_ARTIFACT": 60, "IMPORTS_FROM": 50, "TESTED_BY": 40, "CONTAINS": 30}
 DEFAULT_TIE = 50
 
 STEPS_PER_CUT = 2  # joins between two checkpoints of a loop
+IN_ONE_CALL = 1_000_000  # arcs one task holds as numbers; the way by joins goes on until no more are left, and comes to the same
 
 
-def trim_acyclic(links: DataFrame) -> DataFrame:
-    """Links that can lie on a cycle: links out of nodes without a predecessor or into nodes without a successor are peeled off."""
+def trim_acyclic(links: DataFrame, enough: int = 0) -> DataFrame:
+    """Links that can lie on a cycle: links out of nodes without a predecessor or into nodes without a successor are peeled off, until at most ``enough`` are left."""
     current = cut(links.select("src", "dst").filter("src <> dst").distinct())
     count = current.count()
-    while True:
+    while count > enough:
         for _ in range(STEPS_PER_CUT):
             heads = current.select(F.col("dst").alias("_d")).distinct()
             tails = current.select(F.col("src").alias("_s")).distinct()
@@ -33,16 +39,70 @@ def trim_acyclic(links: DataFrame) -> DataFrame:
     return current
 
 
-def strongly_connected(links: DataFrame) -> DataFrame:
+def numbered(table) -> tuple[list[str], list[np.ndarray]]:
+    """The names of an Arrow table's string columns in order, and each column as positions among them."""
+    every = pa.chunked_array([c.cast(pa.string()) for column in table.columns for c in column.chunks], pa.string())
+    names = every.unique()
+    names = names.take(pc.sort_indices(names))
+    return names.to_pylist(), [pc.index_in(c, names).to_numpy() for c in table.columns]
+
+
+def strong_parts(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the smallest node of its strongly connected component, by Tarjan's algorithm; -1 where that is one node."""
+    order = np.argsort(src, kind="stable")
+    heads, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    at, seen, low, on, stack, clock = first[:n], [0] * n, [0] * n, bytearray(n), [], 0
+    part = np.full(n, -1)
+    for root in range(n):
+        path = [] if seen[root] else [root]
+        while path:
+            node = path[-1]
+            if not seen[node]:
+                clock += 1
+                seen[node] = low[node] = clock
+                stack.append(node)
+                on[node] = 1
+            if at[node] < first[node + 1]:
+                head = heads[at[node]]
+                at[node] += 1
+                if not seen[head]:
+                    path.append(head)
+                elif on[head] and seen[head] < low[node]:
+                    low[node] = seen[head]
+                continue
+            path.pop()
+            if path and low[node] < low[path[-1]]:
+                low[path[-1]] = low[node]
+            if low[node] == seen[node]:
+                members = [stack.pop()]
+                while members[-1] != node:
+                    members.append(stack.pop())
+                for x in members:
+                    on[x] = 0
+                if len(members) > 1:
+                    part[members] = min(members)
+    return part
+
+
+def _strong_parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if held := list(batches):
+        names, (src, dst) = numbered(pa.Table.from_batches(held))
+        part = strong_parts(len(names), src, dst)
+        on_cycle = np.flatnonzero(part >= 0)
+        yield pa.RecordBatch.from_pydict({"node": pa.array([names[i] for i in on_cycle], pa.string()), "component": pa.array([names[i] for i in part[on_cycle]], pa.string())})
+
+
+def strongly_connected(links: DataFrame, in_one_call: int = IN_ONE_CALL) -> DataFrame:
     """``node, component`` for every node on a cycle; the component is its smallest node.
 
     Colouring: the smallest label is pushed forwards to a fixpoint; within one
     colour, the nodes from which the root can be reached backwards are a
-    component; these are taken out and the rest is coloured again.
+    component; these are taken out and the rest is coloured again. As soon as
+    at most ``in_one_call`` links are left, one task finds what they hold.
     """
-    rest = trim_acyclic(links)
+    rest = trim_acyclic(links, in_one_call)
     found = None
-    while not rest.isEmpty():
+    while rest.count() > in_one_call:
         colour = cut(rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct().withColumn("label", F.col("node")))
         while True:
             before = colour.select(F.col("node").alias("_was"), F.col("label").alias("_label"))
@@ -67,10 +127,9 @@ def strongly_connected(links: DataFrame) -> DataFrame:
         part = cut(back.join(sizes, F.col("component") == F.col("_c"), "left_semi"))
         found = part if found is None else found.unionByName(part)
         gone = back.select(F.col("node").alias("_gone"))
-        rest = trim_acyclic(rest.join(gone, F.col("src") == F.col("_gone"), "left_anti").join(gone, F.col("dst") == F.col("_gone"), "left_anti"))
-    if found is None:
-        return links.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
-    return found
+        rest = trim_acyclic(rest.join(gone, F.col("src") == F.col("_gone"), "left_anti").join(gone, F.col("dst") == F.col("_gone"), "left_anti"), in_one_call)
+    told = cut(rest.repartition(1).mapInArrow(_strong_parts_of, "node string, component string"))
+    return told if found is None else found.unionByName(told)
 
 
 def two_cycles(links: DataFrame) -> DataFrame:
@@ -170,48 +229,113 @@ def feedback_cut(weighted: list[tuple[str, str, int]]) -> list[tuple[str, str, i
     """Arcs whose removal breaks all cycles of one component: those that point backwards in a greedy order of sources and sinks."""
     out: dict[str, dict[str, int]] = {}
     into: dict[str, dict[str, int]] = {}
-    nodes = sorted({x for a, b, _ in weighted for x in (a, b)})
+    left = {x for a, b, _ in weighted for x in (a, b)}
     for a, b, w in weighted:
         if a != b:
             out.setdefault(a, {})[b] = out.get(a, {}).get(b, 0) + w
             into.setdefault(b, {})[a] = out[a][b]
-    left, head, tail = set(nodes), [], []
-
-    def degree(table, x):
-        return sum(w for y, w in table.get(x, {}).items() if y in left)
-
+    leaves, enters = {x: sum(out.get(x, {}).values()) for x in left}, {x: sum(into.get(x, {}).values()) for x in left}
+    head, tail, sinks, sources, rated = [], [], [], [], []
+
+    def rate(x):
+        heapq.heappush(sinks if not leaves[x] else sources if not enters[x] else rated, (enters[x] - leaves[x], x) if leaves[x] and enters[x] else x)
+
+    def take(x):
+        left.discard(x)
+        for table, degrees in ((out, enters), (into, leaves)):
+            for y, w in table.get(x, {}).items():
+                if y in left:
+                    degrees[y] -= w
+                    rate(y)
+
+    for x in left:
+        rate(x)
     while left:
-        sinks = sorted(x for x in left if not degree(out, x))
-        sources = sorted(x for x in left if degree(out, x) and not degree(into, x))
         if sinks:
-            tail.append(sinks[0])
-            left.discard(sinks[0])
+            if (x := heapq.heappop(sinks)) in left:
+                tail.append(x)
+                take(x)
         elif sources:
-            head.append(sources[0])
-            left.discard(sources[0])
+            if (x := heapq.heappop(sources)) in left:
+                head.append(x)
+                take(x)
         else:
-            best = min(left, key=lambda x: (degree(into, x) - degree(out, x), x))
-            head.append(best)
-            left.discard(best)
+            gap, x = heapq.heappop(rated)
+            if x in left and gap == enters[x] - leaves[x]:  # else it was rated anew
+                head.append(x)
+                take(x)
     at = {x: i for i, x in enumerate(head + tail[::-1])}
     return sorted((a, b, w) for a, targets in out.items() for b, w in targets.items() if at[a] > at[b])
 
 
-def component_cuts(links: DataFrame, components: DataFrame, largest: int = 5_000) -> DataFrame:
-    """Feedback arcs of every component: one component of at most ``largest`` arcs per call; larger ones are first reduced to that by joins."""
+def cyclic_arcs(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """:func:`trim_acyclic` of numbered arcs: the positions of those that are left."""
+    kept = np.arange(len(src))
+    for _ in range(20):
+        stays = (np.bincount(dst[kept], minlength=n) > 0)[src[kept]] & (np.bincount(src[kept], minlength=n) > 0)[dst[kept]]
+        if stays.all():
+            return kept
+        kept = kept[stays]
+    # long chains are left: node by node
+    a, b = src[kept], dst[kept]
+    dead = np.zeros(n, bool)
+    for tails, heads in ((a, b), (b, a)):
+        order = np.argsort(tails, kind="stable")
+        ahead, first = heads[order].tolist(), np.searchsorted(tails[order], np.arange(n + 1)).tolist()
+        waits = np.bincount(heads[~dead[tails]], minlength=n).tolist()
+        free = [x for x in np.flatnonzero(~dead).tolist() if not waits[x]]
+        while free:
+            x = free.pop()
+            dead[x] = True
+            for y in ahead[first[x] : first[x + 1]]:
+                waits[y] -= 1
+                if not waits[y] and not dead[y]:
+                    free.append(y)
+    return kept[~dead[a] & ~dead[b]]
+
+
+def local_best_cuts(ties: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`cut_local_bests` of numbered arcs until at most ``largest`` are left: the positions of arcs to cut and of arcs left."""
+    n, left, gone = len(ties), np.arange(len(src)), []
+    while len(left) > largest:
+        a, b, w = src[left], dst[left], weight[left]
+        leaves, enters = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        np.add.at(leaves, a, w)
+        np.add.at(enters, b, w)
+        rank = np.empty(n, np.int64)
+        rank[np.lexsort((np.arange(n), ties, np.abs(leaves - enters)))] = np.arange(n)
+        best = np.zeros(n, bool)
+        best[a] = best[b] = True
+        best[np.where(rank[a] < rank[b], a, b)] = False
+        cuts = (best & (enters <= leaves))[b] | (best & (enters > leaves))[a]
+        gone.append(left[cuts])
+        left = left[~cuts]
+        left = left[cyclic_arcs(n, src[left], dst[left])]
+    return np.concatenate(gone) if gone else left[:0], left
+
+
+def component_cuts(links: DataFrame, components: DataFrame, largest: int = 5_000, in_one_call: int = IN_ONE_CALL) -> DataFrame:
+    """Feedback arcs of every component: those of a greedy order for at most ``largest`` arcs; larger components are first reduced to that by rounds of local cuts.
+
+    One component is one call; the rounds run in it from ``in_one_call`` arcs on, by joins before.
+    """
     a, b = components.select(F.col("node").alias("_a"), F.col("component").alias("ca")), components.select(F.col("node").alias("_b"), F.col("component").alias("cb"))
     inner = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b")).filter("ca = cb AND src <> dst")
     inner = cut(inner.select(F.col("ca").alias("component"), "src", "dst", "weight"))
 
-    def cut_one(pdf):
-        import pandas as pd
-
-        arcs = feedback_cut(list(pdf[["src", "dst", "weight"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(pdf["component"].iloc[0], *x) for x in arcs], columns=["component", "src", "dst", "weight"])
+    def cut_one(table):
+        names, (src, dst) = numbered(table.select(["src", "dst"]))
+        weight, ties = table["weight"].to_numpy(), np.zeros(len(names), np.int64)
+        ties[src], ties[dst] = table["src_tie"].to_numpy(), table["dst_tie"].to_numpy()
+        gone, left = local_best_cuts(ties, src, dst, weight, largest)
+        arcs = [(names[src[i]], names[dst[i]], int(weight[i])) for i in gone]
+        arcs += feedback_cut([(names[src[i]], names[dst[i]], int(weight[i])) for i in left])
+        columns = list(zip(*arcs)) or [[], [], []]
+        return pa.table({"component": pa.array([table["component"][0].as_py()] * len(arcs), pa.string()), **{c: pa.array(columns[i], pa.int64() if c == "weight" else pa.string()) for i, c in enumerate(("src", "dst", "weight"))}})
 
     def apart(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
         sizes = arcs.groupBy(F.col("component").alias("_c")).agg(F.count(F.lit(1)).alias("arcs"))
-        big = sizes.filter(F.col("arcs") > largest)
+        big = sizes.filter(F.col("arcs") > max(largest, in_one_call))
         return arcs.join(big, F.col("component") == F.col("_c"), "left_anti"), cut(arcs.join(big, F.col("component") == F.col("_c"), "left_semi"))
 
     small, large = apart(inner)
@@ -221,7 +345,7 @@ def component_cuts(links: DataFrame, components: DataFrame, largest: int = 5_000
         found = taken if found is None else cut_union(found.unionByName(taken))
         rest, large = apart(left)
         small = cut_union(small.unionByName(rest))
-    told = small.groupBy("component").applyInPandas(cut_one, "component string, src string, dst string, weight long")
+    told = small.withColumns({"src_tie": F.xxhash64("src"), "dst_tie": F.xxhash64("dst")}).groupBy("component").applyInArrow(cut_one, "component string, src string, dst string, weight long")
     return told if found is None else told.unionByName(found)
 
 

@@ -86,3 +86,29 @@ def test_components_with_long_ways_back(spark, monkeypatch):
     links = spark.createDataFrame([*zip(names, [*names[1:], names[0]]), *((names[0], x) for x in names[2:])], "src string, dst string")
     found = components.strongly_connected(links)
     assert found.count() == 205 and rows(found.select("component").distinct()) == [("n000",)]
+
+
+def test_large_components_take_few_jobs_and_cuts_are_those_of_the_joins(spark):
+    import random
+
+    draw = random.Random(5)
+    arcs = [(f"m{draw.randrange(90):02d}", f"m{draw.randrange(90):02d}") for _ in range(330)] + [(f"c{i:02d}", f"c{(i + 1) % 40:02d}") for i in range(40)] + [("m01", "c00")]
+    links = spark.createDataFrame(arcs, "src string, dst string")
+    context = spark.sparkContext
+    context.setJobGroup("cuts", "cuts")
+    parts = components.strongly_connected(links)
+    found = rows(components.component_cuts(links, parts, largest=20))
+    context.setJobGroup("rest", "rest")
+    assert len(context.statusTracker().getJobIdsForGroup("cuts")) <= 40
+    assert len(found) > 20 and acyclic({(a, b) for a, b in arcs if a != b} - {(a, b) for _, a, b, _ in found})
+    assert rows(components.strongly_connected(links, in_one_call=0)) == rows(parts)
+    assert rows(components.component_cuts(links, parts, largest=20, in_one_call=50)) == found
+
+
+def test_numbered_arcs_on_cycles():
+    import numpy as np
+
+    chain = [(i, i + 1) for i in range(200)] + [(200, 201), (201, 200)] + [(201, 202)] + [(i, i + 1) for i in range(202, 300)]
+    src, dst = (np.array(x) for x in zip(*chain))
+    assert [chain[i] for i in components.cyclic_arcs(301, src, dst)] == [(200, 201), (201, 200)]
+    assert [i for i, x in enumerate(components.strong_parts(301, src, dst)) if x >= 0] == [200, 201]
