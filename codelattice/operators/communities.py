@@ -10,22 +10,32 @@ All nodes of a turn decide on the same state, and only those whose hash has the
 turn's parity move, so two nodes do not swap for ever; a phase ends when next to
 nobody wants to move, or when the number of those who do finds no new low. Weights are folded per (node, community) before any decision, and a
 community's total is one row, so no hub and no crowd is gathered.
+
+Nodes are numbered first. A level of more than ``IN_ONE_CALL`` ties is a plan of
+joins a turn; from there on, one task holds the ties as arrays and does the same
+turns, with the same answer, for this and all further levels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_table as cut
+from ..session import salted_rank
 
 PATIENCE = 0  # turns without a new low of restless nodes that are waited for
 SETTLED = 0.01  # share of restless nodes at which a phase ends
 LEVEL_LEAST = 0.02  # levels end when one merges fewer nodes than this share
 RESOLUTION = 1.0
 REGION_LIMIT = 0.5  # share of nodes from which a partial run is a whole one
+IN_ONE_CALL = 10_000_000  # ties in both directions that one task holds
+TIES_AT_ONCE = 1_000_000  # of these, looked at together
 
 
 def _moves(both: DataFrame, strength: DataFrame, start: DataFrame, total: float, resolution: float) -> DataFrame:
@@ -55,21 +65,127 @@ def _moves(both: DataFrame, strength: DataFrame, start: DataFrame, total: float,
             return labels
 
 
-def modularity_communities(ties: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
+def _on_turn(ids: np.ndarray, turn: int) -> np.ndarray:
+    """``pmod(xxhash64(id, turn), 2) = 0`` as Spark computes it."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    def mixed(x):
+        x = (x ^ (x >> np.uint64(33))) * p2
+        x = (x ^ (x >> np.uint64(29))) * p3
+        return x ^ (x >> np.uint64(32))
+
+    with np.errstate(over="ignore"):
+        h = mixed(turned((np.uint64(42) + p5 + np.uint64(8)) ^ (turned(ids.astype(np.uint64) * p2, 31) * p1), 27) * p1 + p4)
+        h = mixed(turned((h + p5 + np.uint64(4)) ^ (np.uint64(turn) * p1), 23) * p2 + p3)
+    return (h & np.uint64(1)) == 0
+
+
+def _held_moves(ids: np.ndarray, real: np.ndarray, node: np.ndarray, other: np.ndarray, w: np.ndarray, k: np.ndarray, start: np.ndarray, total: float, resolution: float) -> np.ndarray:
+    """:func:`_moves` of ties held in the order of ``node``, all as positions in ``ids``; only positions in ``real`` are nodes."""
+    n, labels, low, waited = len(ids), start, None, 0
+    first = np.searchsorted(node, np.arange(n + 1))
+    bounds = [0]
+    while bounds[-1] < n:
+        bounds.append(max(bounds[-1] + 1, int(np.searchsorted(first, first[bounds[-1]] + TIES_AT_ONCE, side="right")) - 1))
+    for turn in count():
+        mass = np.bincount(labels[real], k[real], minlength=n)
+        after, moving, restless = labels.copy(), _on_turn(ids, turn), 0
+        for lo, hi in zip(bounds, bounds[1:]):
+            at, here = slice(first[lo], first[hi]), real[np.searchsorted(real, lo) : np.searchsorted(real, hi)]
+            if not len(here):
+                continue
+            # staying is an option even where no neighbour shares the community
+            key = np.concatenate([(node[at].astype(np.int64) - lo) * n + labels[other[at]], (here - lo) * n + labels[here]])
+            order = np.argsort(key)
+            key = key[order]
+            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            votes = np.add.reduceat(np.concatenate([w[at], np.zeros(len(here))])[order], heads)
+            who, where = np.divmod(key[heads], n)
+            who += lo
+            stays = where == labels[who]
+            gain = votes - resolution * k[who] * (mass[where] - np.where(stays, k[who], 0.0)) / total
+            heads = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            best, stay = np.maximum.reduceat(gain, heads), gain[stays]
+            top = np.minimum.reduceat(np.where(gain == np.repeat(best, np.diff(np.r_[heads, len(gain)])), where, n), heads)
+            wants = (best > stay + 1e-9) & (top != labels[here])
+            moved = here[wants & moving[here]]
+            after[moved] = top[wants & moving[here]]
+            restless += int(wants.sum())
+        labels = after
+        if restless <= SETTLED * len(real):
+            return labels
+        low, waited = (restless, 0) if low is None or restless < low else (low, waited + 1)
+        if waited > PATIENCE:
+            return labels
+
+
+def _held_levels(total: float, resolution: float):
+    """A function over batches of ties (node, other, w) and of labels (node, community, no w), all of one level: ``node, community`` after this and all further levels."""
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ties, named = [[], [], []], [[], []]
+        for batch in batches:
+            is_tie = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            x, y, w = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for held, values in zip(ties, (x, y, w)):
+                held.append(values[is_tie])
+            for held, values in zip(named, (x, y)):
+                held.append(values[~is_tie])
+        if not named[0] or not sum(map(len, named[0])):
+            return
+        entered, labels = (np.concatenate(x) for x in named)
+        order = np.argsort(entered)
+        entered, labels = entered[order], labels[order]
+        node, other, w = (np.concatenate(ties.pop(0)) for _ in range(3))
+        nodes, members = entered, np.arange(len(entered))
+        while True:
+            # positions keep the order of the numbers
+            ids = np.unique(np.concatenate([nodes, labels]))
+            real, start = np.searchsorted(ids, nodes), np.arange(len(ids))
+            start[real] = np.searchsorted(ids, labels)
+            order = np.argsort(node, kind="stable")
+            node, other, w = np.searchsorted(ids, node[order]).astype(np.int32), np.searchsorted(ids, other[order]).astype(np.int32), w[order]
+            k, apart = np.bincount(node, w, minlength=len(ids)), node != other
+            labels = _held_moves(ids, real, node[apart], other[apart], w[apart], k, start, total, resolution)
+            # refinement: moves inside each community, from single nodes
+            inside = apart & (labels[node] == labels[other])
+            parts = _held_moves(ids, real, node[inside], other[inside], w[inside], k, np.arange(len(ids)), total, resolution)
+            left, part_of = np.unique(parts[real], return_inverse=True)
+            whole = np.full(len(left), len(ids))
+            np.minimum.at(whole, part_of, labels[real])
+            members, n, nodes, labels = part_of[members], len(nodes), ids[left], ids[whole]
+            if len(left) >= n * (1 - LEVEL_LEAST):
+                break
+            key = np.searchsorted(left, parts[node]) * len(left) + np.searchsorted(left, parts[other])
+            order = np.argsort(key)
+            key, w = key[order], w[order]
+            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            w = np.add.reduceat(w, heads)
+            node, other = (nodes[x] for x in np.divmod(key[heads], len(left)))
+        yield pa.RecordBatch.from_pydict({"node": pa.array(entered, pa.int64()), "community": pa.array(labels[members], pa.int64())})
+
+    return levels
+
+
+def modularity_communities(ties: DataFrame, resolution: float = RESOLUTION, in_one_call: int = IN_ONE_CALL) -> DataFrame:
     """``node, community`` of weighted undirected ``ties`` (a, b, w), a community named by its smallest node.
 
     Ties of a node with itself and ties without a positive weight are left out; an empty frame gives an empty result.
     """
-    real = ties.filter("a <> b AND w > 0").select(F.col("a"), F.col("b"), F.col("w").cast("double").alias("w"))
-    both = cut(real.select(F.col("a").alias("node"), F.col("b").alias("other"), "w").unionByName(real.select(F.col("b").alias("node"), F.col("a").alias("other"), "w")).groupBy("node", "other").agg(F.sum("w").alias("w")))
-    total = both.agg(F.sum("w")).first()[0]
-    strength = both.groupBy("node").agg(F.sum("w").alias("k"))
-    labels = strength.select("node", F.col("node").alias("community"))
+    real = cut(ties.filter("a <> b AND w > 0").select("a", "b", F.col("w").cast("double").alias("w")))
+    ids = cut(salted_rank(cut(real.select(F.col("a").alias("name")).union(real.select("b")).distinct()), [], ["name"], "id"))
+    p, q = ids.select(F.col("name").alias("_a"), F.col("id").alias("ia")), ids.select(F.col("name").alias("_b"), F.col("id").alias("ib"))
+    pairs = real.join(p, F.col("a") == F.col("_a")).join(q, F.col("b") == F.col("_b"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("ia").alias("node"), F.col("ib").alias("other"), "w"), F.struct(F.col("ib").alias("node"), F.col("ia").alias("other"), "w"))).alias("t")).select("t.*")
+    both = cut(both.groupBy("node", "other").agg(F.sum("w").alias("w")))
+    total, held = both.agg(F.sum("w"), F.count(F.lit(1))).first()
     if not total:
-        return labels
-    members = cut(labels.select(F.col("node").alias("origin"), "node"))
-    n = members.count()
-    while True:
+        return real.select(F.col("a").alias("node"), F.col("a").alias("community"))
+    labels = ids.select(F.col("id").alias("node"), F.col("id").alias("community"))
+    members = ids.select(F.col("id").alias("origin"), F.col("id").alias("node"))
+    n = ids.count()
+    while held > in_one_call:
         strength = cut(both.groupBy("node").agg(F.sum("w").alias("k")))
         labels = _moves(both, strength, labels, total, resolution)
         # refinement: moves inside each community, from single nodes
@@ -85,9 +201,14 @@ def modularity_communities(ties: DataFrame, resolution: float = RESOLUTION) -> D
         n = left
         p, q = parts.select(F.col("node").alias("_a"), F.col("community").alias("pa")), parts.select(F.col("node").alias("_b"), F.col("community").alias("pb"))
         both = cut(both.join(p, F.col("node") == F.col("_a")).join(q, F.col("other") == F.col("_b")).groupBy(F.col("pa").alias("node"), F.col("pb").alias("other")).agg(F.sum("w").alias("w")))
-    told = members.join(labels.select(F.col("node").alias("_n"), "community"), F.col("node") == F.col("_n"))
-    names = told.groupBy(F.col("community").alias("_c")).agg(F.min("origin").alias("name"))
-    return cut(told.join(names, F.col("community") == F.col("_c")).select(F.col("origin").alias("node"), F.col("name").alias("community")))
+        held = both.count()
+    else:
+        level = both.unionByName(labels.select("node", F.col("community").alias("other"), F.lit(None).cast("double").alias("w")))
+        labels = cut(level.repartition(1).mapInArrow(_held_levels(total, resolution), "node long, community long"))
+    told = members.join(labels.select(F.col("node").alias("_n"), "community"), F.col("node") == F.col("_n")).select("origin", "community")
+    told = cut(told.join(ids, F.col("origin") == F.col("id")).select("name", "community"))
+    names = told.groupBy(F.col("community").alias("_c")).agg(F.min("name").alias("_name"))
+    return cut(told.join(names, F.col("community") == F.col("_c")).select(F.col("name").alias("node"), F.col("_name").alias("community")))
 
 
 def modularity(ties: DataFrame, labels: DataFrame, resolution: float = RESOLUTION) -> float:

@@ -1,7 +1,7 @@
 """Small cases that a bound on size, depth, rounds or names would lose."""
 
 from codelattice import graph_queries, plan_queries
-from codelattice.operators import components
+from codelattice.operators import communities, components
 from codelattice.plans import changes
 from conftest import rows
 from pyspark.sql import functions as F
@@ -112,3 +112,39 @@ def test_numbered_arcs_on_cycles():
     src, dst = (np.array(x) for x in zip(*chain))
     assert [chain[i] for i in components.cyclic_arcs(301, src, dst)] == [(200, 201), (201, 200)]
     assert [i for i, x in enumerate(components.strong_parts(301, src, dst)) if x >= 0] == [200, 201]
+
+
+def test_communities_take_few_jobs_and_are_those_of_the_joins(spark):
+    import random
+
+    import numpy as np
+
+    ids = spark.range(200).select("id", *(F.expr(f"pmod(xxhash64(id, {t}), 2) = 0").alias(f"t{t}") for t in (0, 1, 77)))
+    for t in (0, 1, 77):
+        assert [r[f"t{t}"] for r in ids.orderBy("id").collect()] == communities._on_turn(np.arange(200), t).tolist()
+    draw = random.Random(3)
+    pairs = {tuple(sorted((draw.randrange(120), draw.randrange(120)))) for _ in range(60)}
+    pairs |= {tuple(sorted((g * 10 + draw.randrange(10), g * 10 + draw.randrange(10)))) for g in range(12) for _ in range(18)}
+    ties = spark.createDataFrame([(f"n{a:03d}", f"n{b:03d}", draw.choice([30, 50, 100])) for a, b in sorted(pairs)], "a string, b string, w int")
+    context = spark.sparkContext
+    context.setJobGroup("communities", "communities")
+    found = rows(communities.modularity_communities(ties))
+    context.setJobGroup("rest", "rest")
+    assert len(context.statusTracker().getJobIdsForGroup("communities")) <= 60
+    assert 1 < len({c for _, c in found}) < len(found) / 3
+    assert rows(communities.modularity_communities(ties, in_one_call=0)) == found
+    assert rows(communities.modularity_communities(ties, in_one_call=120)) == found
+
+
+def test_held_moves_do_not_depend_on_how_many_ties_are_looked_at_together(monkeypatch):
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    pairs = np.unique(draw.integers(0, 60, (300, 2)), axis=0)
+    pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    node, other, w = pairs[:, 0], pairs[:, 1], np.ones(len(pairs))
+    asked = (np.arange(60), np.arange(60), node, other, w, np.bincount(node, w, minlength=60), np.arange(60), float(len(pairs)), 1.0)
+    whole = communities._held_moves(*asked)
+    monkeypatch.setattr(communities, "TIES_AT_ONCE", 7)
+    assert communities._held_moves(*asked).tolist() == whole.tolist() != list(range(60))
