@@ -9,7 +9,7 @@ from .graph_queries import REPORTABLE_SQL, SEED_CALLEE, TEST_PATH_SQL, WITH, WIT
 from .operators import components, traversal
 from .plans import architecture, changes, passes, refactoring
 from .schema import TIER_SQL, latest
-from .session import load
+from .session import cut_table, load
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -121,8 +121,9 @@ o AS (SELECT DISTINCT target_qualified t FROM e WHERE contains(target_qualified,
 SELECT e.id, r.q AS target_qualified FROM e JOIN ({" UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(1, 9))}) r ON e.target_qualified = r.t WHERE r.c = 1""")
 def reexported_targets(spark, d):
     n, e = both(spark, d)
-    was = e.select(F.col("id").alias("_id"), F.col("target_qualified").alias("_was"))
-    return passes.follow_reexports(n, e).join(was, F.col("id") == F.col("_id")).filter("target_qualified <> _was").select("id", "target_qualified")
+    n, e = cut_table(n.select("qualified_name", "file_path")), cut_table(e.select("id", "kind", "target_qualified", "file_path"))
+    found = passes.reexport_targets(n, e)
+    return e.join(found, F.col("target_qualified") == F.col("original")).select("id", F.col("found").alias("target_qualified"))
 
 
 @query(f"""{WITH_REC}, v AS (SELECT DISTINCT e.file_path f, n.file_path v FROM e JOIN n ON e.target_qualified = n.qualified_name WHERE e.kind = 'IMPORTS_FROM' AND e.file_path <> n.file_path),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..schema import latest, tier
-from ..session import cut, cut_table, cut_union
+from ..session import cut, cut_table, cut_union, salted_rank
 
 # fixed values
 DIRECT, INFERRED, UNRESOLVED = 0.9, 0.6, 0.2
@@ -147,22 +147,49 @@ def sync_tests_with_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.filter("kind <> 'TESTED_BY'").unionByName(fixed)
 
 
-def follow_reexports(nodes: DataFrame, edges: DataFrame, hops: int = 8) -> DataFrame:
-    """Targets ``file::name`` that no node bears follow the imports of that file to the file that declares the name, at most ``hops`` imports away."""
+def reexport_targets(nodes: DataFrame, edges: DataFrame, hops: int = 8) -> DataFrame:
+    """``original, found``: targets ``file::name`` that no node bears, and the one declaration of that name fewest imports away from the file, at most ``hops``.
+
+    Only names that some file declares are asked for. Questions about one file
+    share its walk, which meets every file once, at its least distance: a file
+    met again is no nearer, so it can neither settle a name nor make it ambiguous.
+    """
     known = nodes.select(F.col("qualified_name").alias("_known"))
-    dangling = edges.filter("contains(target_qualified, '::')").join(known, F.col("target_qualified") == F.col("_known"), "left_anti")
-    open_names = dangling.select(F.col("target_qualified").alias("original")).distinct().select("original", F.substring_index("original", "::", 1).alias("at"), F.substring_index("original", "::", -1).alias("leaf"))
-    sight = cut(visible_files(edges, nodes))
-    settled, frontier = None, open_names
-    for _ in range(hops):
-        ahead = frontier.join(sight, F.col("at") == F.col("file")).select("original", F.col("visible").alias("at"), "leaf").distinct()
-        hit = ahead.join(known, F.concat("at", F.lit("::"), "leaf") == F.col("_known")).groupBy("original").agg(F.count_distinct("_known").alias("n"), F.min("_known").alias("found"))
-        hit = cut(hit)
+    dangling = edges.filter("contains(target_qualified, '::')").select(F.col("target_qualified").alias("original")).distinct().join(known, F.col("original") == F.col("_known"), "left_anti")
+    open_names = cut_table(dangling.select("original", F.substring_index("original", "::", 1).alias("at"), F.substring_index("original", "::", -1).alias("leaf")))
+    asked = open_names.select(F.col("leaf").alias("_leaf")).distinct()
+    declared = nodes.filter("contains(qualified_name, '::')").select(F.col("qualified_name").alias("symbol"), F.substring_index("qualified_name", "::", -1).alias("leaf")).join(asked, F.col("leaf") == F.col("_leaf"), "left_semi").distinct()
+    declared = declared.withColumn("home", F.expr("substring(symbol, 1, length(symbol) - length(leaf) - 2)"))
+    sight = cut_table(visible_files(edges, nodes))
+    ids = cut_table(salted_rank(cut_table(sight.select(F.col("file").alias("path")).union(sight.select("visible")).distinct()), [], ["path"], "number"))
+    p, q = ids.select(F.col("path").alias("_p"), F.col("number").alias("here")), ids.select(F.col("path").alias("_q"), F.col("number").alias("ahead"))
+    steps = cut_table(sight.join(p, F.col("file") == F.col("_p")).join(q, F.col("visible") == F.col("_q")).select("here", "ahead"))
+    declared = cut_table(declared.join(q, F.col("home") == F.col("_q")).select(F.col("leaf").alias("_leaf"), F.col("ahead").alias("_home"), "symbol"))
+    starts = open_names.join(declared.select("_leaf").distinct(), F.col("leaf") == F.col("_leaf"), "left_semi").join(p, F.col("at") == F.col("_p"))
+    questions = cut_table(starts.select("original", "leaf", F.col("here").alias("start")))
+    waiting = cut_table(questions.select("start", "leaf").distinct())
+    settled, seen, at = None, None, waiting.select("start", F.col("start").alias("file")).distinct()
+    for hop in range(1, hops + 1):
+        ahead = at.join(steps, F.col("file") == F.col("here")).select("start", F.col("ahead").alias("file")).distinct()
+        if seen is not None:
+            ahead = ahead.join(seen.select(F.col("start").alias("_s"), F.col("file").alias("_f")), (F.col("start") == F.col("_s")) & (F.col("file") == F.col("_f")), "left_anti")
+        at = cut_table(ahead)
+        met = at.join(waiting.select(F.col("start").alias("_s"), "leaf"), F.col("start") == F.col("_s")).join(declared, (F.col("file") == F.col("_home")) & (F.col("leaf") == F.col("_leaf")))
+        hit = cut_table(met.groupBy("start", "leaf").agg(F.count_distinct("symbol").alias("n"), F.min("symbol").alias("found")))
         settled = hit if settled is None else settled.unionByName(hit)
-        frontier = cut(ahead.join(hit.select(F.col("original").alias("_o")), F.col("original") == F.col("_o"), "left_anti"))
-        if frontier.isEmpty():
+        if hop == hops or at.isEmpty():
             break
-    unique = settled.filter("n = 1").select(F.col("original").alias("_o"), "found")
+        done = hit.select(F.col("start").alias("_s"), F.col("leaf").alias("_l"))
+        waiting = cut_table(waiting.join(done, (F.col("start") == F.col("_s")) & (F.col("leaf") == F.col("_l")), "left_anti"))
+        seen = at if seen is None else seen.unionByName(at)
+        at = at.join(waiting.select(F.col("start").alias("_w")).distinct(), F.col("start") == F.col("_w"), "left_semi")
+    unique = settled.filter("n = 1").select(F.col("start").alias("_s"), F.col("leaf").alias("_l"), "found")
+    return cut_table(questions.join(unique, (F.col("start") == F.col("_s")) & (F.col("leaf") == F.col("_l"))).select("original", "found"))
+
+
+def follow_reexports(nodes: DataFrame, edges: DataFrame, hops: int = 8) -> DataFrame:
+    """Targets ``file::name`` that no node bears follow the imports of that file to the file that declares the name, at most ``hops`` imports away."""
+    unique = reexport_targets(nodes, edges, hops).withColumnRenamed("original", "_o")
     joined = edges.join(unique, F.col("target_qualified") == F.col("_o"), "left")
     return joined.select(*[F.coalesce("found", "target_qualified").alias(c) if c == "target_qualified" else F.col(c) for c in edges.columns])
 

@@ -2,7 +2,7 @@
 
 from codelattice import graph_queries, plan_queries
 from codelattice.operators import communities, components
-from codelattice.plans import changes
+from codelattice.plans import changes, passes
 from conftest import rows
 from pyspark.sql import functions as F
 from test_graph import edges_of, nodes_of
@@ -148,3 +148,26 @@ def test_held_moves_do_not_depend_on_how_many_ties_are_looked_at_together(monkey
     whole = communities._held_moves(*asked)
     monkeypatch.setattr(communities, "TIES_AT_ONCE", 7)
     assert communities._held_moves(*asked).tolist() == whole.tolist() != list(range(60))
+
+
+def test_reexports_walk_once_and_for_declared_names_only(spark, monkeypatch):
+    held = []
+
+    def counted(was):
+        def cut(df):
+            out = was(df)
+            held.append(out.count())
+            return out
+
+        return cut
+
+    monkeypatch.setattr(passes, "cut", counted(passes.cut))
+    monkeypatch.setattr(passes, "cut_table", counted(passes.cut_table))
+    files = [f"f{i}.py" for i in range(9)] + ["far.py", "twin.py", "self.py"]
+    nodes = nodes_of(spark, [(f, "File") for f in files] + ["far.py::deep", "far.py::both", "twin.py::both", "self.py::own", "far.py::near", "f3.py::near"])
+    links = [(a, b) for a in files[:9] for b in files[:9] if a != b] + [("f8.py", "far.py"), ("f7.py", "twin.py"), ("self.py", "f0.py"), ("f1.py", "self.py")]
+    wanted = ["f0.py::deep", "f0.py::both", "self.py::X::own", "f0.py::near"] + [f"f0.py::nowhere{i}" for i in range(40)]
+    edges = edges_of(spark, [("IMPORTS_FROM", a, b) for a, b in links] + [("CALLS", "x.py::f", t) for t in wanted])
+    moved = passes.follow_reexports(nodes, edges).join(edges.select(F.col("id").alias("_i"), F.col("target_qualified").alias("was")), F.col("id") == F.col("_i")).filter("was <> target_qualified")
+    assert rows(moved.select("was", "target_qualified")) == [("f0.py::deep", "far.py::deep"), ("f0.py::near", "f3.py::near"), ("self.py::X::own", "self.py::own")]
+    assert sum(held) < 1000
