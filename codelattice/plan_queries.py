@@ -137,6 +137,7 @@ def import_visibility(spark, d):
 def pass_counters(spark, d):
     """Changed edges of every pass, in order."""
     n, e = both(spark, d)
+    n, e = n.select("kind", "name", "qualified_name", "file_path", "parent_name", "return_type", "is_test", "extra"), e.drop("line", "target_name", "updated_at")
     _, changed, warnings = passes.run_passes(n, e)
     rows = [(i, k, v) for i, (k, v) in enumerate(changed.items())] + [(99, f"warning {w}", 1) for w in warnings]
     return spark.createDataFrame(rows, "position long, step string, changed long")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..schema import latest, tier
-from ..session import cut, cut_table, cut_union, salted_rank
+from ..session import cut, cut_table, cut_union, drop_table, passing_tables, salted_rank
 
 # fixed values
 DIRECT, INFERRED, UNRESOLVED = 0.9, 0.6, 0.2
@@ -44,6 +44,12 @@ def is_external() -> Column:
     return F.coalesce(F.get_json_object("extra", "$.external") == "true", F.lit(False))
 
 
+def among(edges: DataFrame, candidate: Column, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``change`` of the rows ``candidate`` holds for; all others pass by without an exchange."""
+    mark = F.coalesce(candidate, F.lit(False))
+    return edges.filter(~mark).unionByName(change(edges.filter(mark)).select(*edges.columns))
+
+
 def visible_files(edges: DataFrame, nodes: DataFrame, reexport_rounds: int = 0) -> DataFrame:
     """(file, visible): what a file imports, directly and through ``reexport_rounds`` further imports."""
     home = nodes.select(F.col("qualified_name").alias("_q"), F.col("file_path").alias("_f")).distinct()
@@ -89,14 +95,13 @@ def bind_bare(nodes: DataFrame, edges: DataFrame, edge_kinds: list[str], kinds:
         told = told.join(part, (F.col("ef") == F.col(a)) & (F.col("w") == F.col(b)), "left").drop(a, b)
     near = F.coalesce("own", "imported")
     bound = told.select("ef", "w", F.coalesce(near, "alone").alias("bound"), near.isNotNull().alias("near")).filter("bound IS NOT NULL")
-    joined = edges.join(bound, is_target & (F.col("file_path") == F.col("ef")) & (F.col("target_qualified") == F.col("w")), "left")
     hit = F.col("bound").isNotNull()
-    return joined.select(*[
+    return among(edges, is_target, lambda part: part.join(bound, (F.col("file_path") == F.col("ef")) & (F.col("target_qualified") == F.col("w")), "left").select(*[
         F.when(hit, F.col("bound")).otherwise(F.col("target_qualified")).alias("target_qualified") if c == "target_qualified"
         else F.when(hit, F.when(F.col("near"), DIRECT).otherwise(INFERRED)).otherwise(F.col("confidence")).alias("confidence") if c == "confidence"
         else F.when(hit, F.when(F.col("near"), "HIGH").otherwise("MEDIUM")).otherwise(F.col("confidence_tier")).alias("confidence_tier") if c == "confidence_tier"
         else F.col(c) for c in edges.columns
-    ])
+    ]))
 
 
 def bare_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -190,8 +195,8 @@ def reexport_targets(nodes: DataFrame, edges: DataFrame, hops: int = 8) -> DataF
 def follow_reexports(nodes: DataFrame, edges: DataFrame, hops: int = 8) -> DataFrame:
     """Targets ``file::name`` that no node bears follow the imports of that file to the file that declares the name, at most ``hops`` imports away."""
     unique = reexport_targets(nodes, edges, hops).withColumnRenamed("original", "_o")
-    joined = edges.join(unique, F.col("target_qualified") == F.col("_o"), "left")
-    return joined.select(*[F.coalesce("found", "target_qualified").alias(c) if c == "target_qualified" else F.col(c) for c in edges.columns])
+    found = [F.coalesce("found", "target_qualified").alias(c) if c == "target_qualified" else F.col(c) for c in edges.columns]
+    return among(edges, F.col("target_qualified").contains("::"), lambda part: part.join(unique, F.col("target_qualified") == F.col("_o"), "left").select(*found))
 
 
 def mark_stdlib_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -199,12 +204,11 @@ def mark_stdlib_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     table = F.create_map(*[F.lit(x) for pair in stdlib_methods().items() for x in pair])
     own = nodes.filter("kind IN ('Function', 'Class')").select(F.col("name").alias("_own")).distinct()
     package = F.try_element_at(table, F.col("target_qualified"))
-    joined = edges.join(own, F.col("target_qualified") == F.col("_own"), "left")
-    hit = (F.col("kind") == "CALLS") & package.isNotNull() & F.col("_own").isNull() & ~is_external()
-    return joined.select(*[
+    hit = F.col("_own").isNull()
+    return among(edges, (F.col("kind") == "CALLS") & package.isNotNull() & ~is_external(), lambda part: part.join(own, F.col("target_qualified") == F.col("_own"), "left").select(*[
         F.when(hit, F.to_json(F.struct(F.lit(True).alias("external"), package.alias("external_package"), F.lit(True).alias("stdlib")))).otherwise(F.col("extra")).alias(c) if c == "extra"
         else F.when(hit, "MEDIUM").otherwise(F.col("confidence_tier")).alias(c) if c == "confidence_tier" else F.col(c) for c in edges.columns
-    ])
+    ]))
 
 
 def observed_packages(edges: DataFrame, least: int = 2, share_percent: int = 90) -> DataFrame:
@@ -230,20 +234,19 @@ def link_foreign_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     lost = edges.filter("kind = 'CONTAINS' AND contains(source_qualified, '::')").join(known, F.col("source_qualified") == F.col("_q"), "left_anti")
     moved = lost.withColumn("_leaf", text.endpoint_leaf(F.col("source_qualified"))).join(types, F.col("_leaf") == F.col("_name"))
     ids = moved.select(F.col("id").alias("_id"), "owner")
-    joined = edges.join(ids, F.col("id") == F.col("_id"), "left")
-    return joined.select(*[
+    return among(edges, F.expr("kind = 'CONTAINS' AND contains(source_qualified, '::')"), lambda part: part.join(ids, F.col("id") == F.col("_id"), "left").select(*[
         F.coalesce("owner", "source_qualified").alias(c) if c == "source_qualified"
         else F.when(F.col("owner").isNotNull(), F.to_json(F.struct(F.col("source_qualified").alias("impl_owner_from")))).otherwise(F.col("extra")).alias(c) if c == "extra" else F.col(c) for c in edges.columns
-    ])
+    ]))
 
 
 def bind_by_name_and_directory(edges: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     """Bare targets of one edge kind bind to the one node of that name in the same directory (module references)."""
     home = nodes.filter("kind <> 'File'").select(F.col("name").alias("_name"), paths.package_of(F.col("file_path")).alias("_dir"), "qualified_name")
     one = home.groupBy("_name", "_dir").agg(F.count(F.lit(1)).alias("_n"), F.min("qualified_name").alias("bound")).filter("_n = 1").drop("_n")
-    hit = (F.col("kind") == kind) & is_bare(F.col("target_qualified")) & (F.col("target_qualified") == F.col("_name")) & (paths.package_of(F.col("file_path")) == F.col("_dir"))
-    joined = edges.join(one, hit, "left")
-    return joined.select(*[F.coalesce("bound", "target_qualified").alias(c) if c == "target_qualified" else F.col(c) for c in edges.columns])
+    hit = (F.col("target_qualified") == F.col("_name")) & (paths.package_of(F.col("file_path")) == F.col("_dir"))
+    bound = [F.coalesce("bound", "target_qualified").alias(c) if c == "target_qualified" else F.col(c) for c in edges.columns]
+    return among(edges, (F.col("kind") == kind) & is_bare(F.col("target_qualified")), lambda part: part.join(one, hit, "left").select(*bound))
 
 
 def terraform_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -256,13 +259,12 @@ def documentation_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     wanted = F.regexp_replace("target_qualified", "^<unresolved:(.*)>$", "$1")
     is_doc = (F.col("kind") == "CROSS_ARTIFACT") & ~F.col("target_qualified").contains("::") & ~F.col("target_qualified").contains("/")
     directive = F.get_json_object("extra", "$.markdown_directive_kind").isNotNull()
-    joined = edges.withColumn("_wanted", wanted).join(one, is_doc & (F.col("_wanted") == F.col("_name")), "left")
     hit = F.col("bound").isNotNull()
-    return joined.select(*[
+    return among(edges, is_doc, lambda part: part.withColumn("_wanted", wanted).join(one, F.col("_wanted") == F.col("_name"), "left").select(*[
         F.coalesce("bound", "target_qualified").alias(c) if c == "target_qualified"
-        else F.when(hit, F.when(directive, 0.8).otherwise(0.4)).when(is_doc, UNRESOLVED).otherwise(F.col(c)).alias(c) if c == "confidence"
-        else F.when(hit, F.when(directive, "HIGH").otherwise("MEDIUM")).when(is_doc, "LOW").otherwise(F.col(c)).alias(c) if c == "confidence_tier" else F.col(c) for c in edges.columns
-    ])
+        else F.when(hit, F.when(directive, 0.8).otherwise(0.4)).otherwise(UNRESOLVED).alias(c) if c == "confidence"
+        else F.when(hit, F.when(directive, "HIGH").otherwise("MEDIUM")).otherwise("LOW").alias(c) if c == "confidence_tier" else F.col(c) for c in edges.columns
+    ]))
 
 
 def replace_derived(edges: DataFrame, derived: DataFrame, extractor: str) -> DataFrame:
@@ -320,19 +322,30 @@ def pass_list() -> list[tuple[str, Pass]]:
 
 
 def run_passes(nodes: DataFrame, edges: DataFrame, passes: list[tuple[str, Pass]] | None = None) -> tuple[DataFrame, dict[str, int], list[str]]:
-    """Apply the passes in order: edges, changed rows per pass, and warnings of passes that failed."""
+    """Apply the passes in order: edges, changed rows per pass, and warnings of passes that failed.
+
+    Of the tables that are written on the way, only the last edges stay.
+    """
     changed, warnings = {}, []
-    current = cut_table(edges)
     shown = ["id", "source_qualified", "target_qualified", "confidence", "confidence_tier", "extra"]
-    for name, step in passes or pass_list():
-        try:
-            after = cut_table(step(nodes, current))
-            was = current.select(F.col("id").alias("_id"), F.xxhash64(*shown).alias("_h"))
-            same = after.select("id", F.xxhash64(*shown).alias("h")).join(was, (F.col("id") == F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").count()
-            changed[name] = current.count() - same
-            current = after
-        except Exception as e:  # noqa: BLE001
-            warnings.append(f"{name}: {type(e).__name__}")
+    spark = edges.sparkSession
+    with passing_tables(spark) as held:
+        nodes, current = cut_table(nodes), cut_table(edges, "zstd")
+        rows = current.count()
+        for name, step in passes or pass_list():
+            try:
+                with passing_tables(spark) as made:
+                    after = cut_table(step(nodes, current), "zstd")
+                    was = current.select(F.col("id").alias("_id"), F.xxhash64(*shown).alias("_h"))
+                    same = after.select("id", F.xxhash64(*shown).alias("h")).join(was, (F.col("id") == F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").count()
+                    counted = after.count()
+                    held.append(made.pop())  # the table of ``after`` takes the place of ``current``
+                changed[name] = rows - same
+                drop_table(spark, held.pop(1))
+                current, rows = after, counted
+            except Exception as e:  # noqa: BLE001
+                warnings.append(f"{name}: {type(e).__name__}")
+        del held[1:]
     return current, changed, warnings
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..session import cut, cut_table
-from .passes import DIRECT, INFERRED, is_bare, is_external, observed_packages, visible_files
+from .passes import DIRECT, INFERRED, among, is_bare, is_external, observed_packages, visible_files
 
 # fixed values: standard types a type may dereference to, and methods of a fallible result
 DEREF_TARGETS = [
@@ -41,8 +41,12 @@ def open_calls(edges: DataFrame) -> Column:
 
 
 def rebind(edges: DataFrame, bound: DataFrame, external: bool = False) -> DataFrame:
-    """``bound`` (eid, to, near[, package, symbol]) settles edges: HIGH where near, else MEDIUM."""
-    joined = edges.join(bound, F.col("id") == F.col("eid"), "left")
+    """``bound`` (eid, to, near[, package, symbol]) settles edges: HIGH where near, else MEDIUM.
+
+    Only calls without a path in their target are ever asked about.
+    """
+    target = F.col("target_qualified")
+    askable = (F.col("kind") == "CALLS") & (~target.contains("/") | target.startswith("<unresolved:"))
     hit = F.col("eid").isNotNull()
     changed = {
         "target_qualified": F.col("to"), "confidence": F.when(F.col("near"), DIRECT).otherwise(INFERRED), "confidence_tier": F.when(F.col("near"), "HIGH").otherwise("MEDIUM"),
@@ -50,7 +54,8 @@ def rebind(edges: DataFrame, bound: DataFrame, external: bool = False) -> DataFr
     if external:
         changed["target_name"] = F.col("to")
         changed["extra"] = F.to_json(F.struct(F.lit(True).alias("external"), F.col("package").alias("external_package"), F.col("symbol").alias("external_symbol")))
-    return joined.select(*[F.when(hit, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in edges.columns])
+    settled = [F.when(hit, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in edges.columns]
+    return among(edges, askable, lambda part: part.join(bound, F.col("id") == F.col("eid"), "left").select(*settled))
 
 
 def type_members(nodes: DataFrame) -> DataFrame:

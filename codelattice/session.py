@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,7 +54,7 @@ def cut_union(df: DataFrame) -> DataFrame:
     return cut(df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def cut_table(df: DataFrame) -> DataFrame:
+def cut_table(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from its files.
 
     A checkpoint keeps what the optimizer inferred about the columns and its
@@ -61,15 +65,35 @@ def cut_table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
     was = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Folders of the tables that :func:`cut_table` writes inside are listed, and deleted at the end unless they were taken off the list."""
+    paths: list[str] = []
+    token = _passing.set(paths)
+    try:
+        yield paths
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            drop_table(spark, path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def bucket_count(rows: int, rows_per_bucket: int, least: int = 8) -> int:
     """Number of buckets that keeps each of them near ``rows_per_bucket`` rows."""
     return max(least, math.ceil(rows / max(1, rows_per_bucket)))

@@ -171,3 +171,20 @@ def test_reexports_walk_once_and_for_declared_names_only(spark, monkeypatch):
     moved = passes.follow_reexports(nodes, edges).join(edges.select(F.col("id").alias("_i"), F.col("target_qualified").alias("was")), F.col("id") == F.col("_i")).filter("was <> target_qualified")
     assert rows(moved.select("was", "target_qualified")) == [("f0.py::deep", "far.py::deep"), ("f0.py::near", "f3.py::near"), ("self.py::X::own", "self.py::own")]
     assert sum(held) < 1000
+
+
+def test_passes_leave_one_table_and_let_other_rows_by(spark):
+    from pathlib import Path
+
+    from codelattice import session
+
+    nodes = nodes_of(spark, [("a.py", "File"), "a.py::f", "b.py::only"])
+    edges = edges_of(spark, [("CALLS", "a.py::f", "only"), ("CALLS", "a.py::f", "len"), ("CONTAINS", "a.py", "a.py::f"), ("CALLS", "a.py::f", "lost"), ("NONE", "a.py::f", "only")])
+    edges = edges.withColumns({"target_qualified": F.expr("nullif(target_qualified, 'lost')"), "kind": F.expr("nullif(kind, 'NONE')")})
+    folder = Path(session.ensure_checkpoint_dir(spark).removeprefix("file:")) / "tables"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    steps = [("bare_calls", passes.bare_calls), ("broken", lambda n, e: e.select("none")), ("stdlib_calls", passes.mark_stdlib_calls)]
+    after, changed, warnings = passes.run_passes(nodes, edges, steps)
+    assert changed == {"bare_calls": 1, "stdlib_calls": 1} and len(warnings) == 1 and warnings[0].startswith("broken")
+    assert len(set(folder.iterdir()) - before) == 1
+    assert rows(after.select("kind", "target_qualified", "confidence_tier")) == rows(edges.select("kind", F.when(F.expr("kind = 'CALLS' AND target_qualified = 'only'"), "b.py::only").otherwise(F.col("target_qualified")), F.when(F.expr("kind = 'CALLS' AND target_qualified IN ('only', 'len')"), "MEDIUM").otherwise(F.col("confidence_tier"))))
